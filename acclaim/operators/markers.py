@@ -131,8 +131,18 @@ def _pattern_spans(text: Column, pattern: Column, width: Column) -> Column:
 
 
 def _finish_hits(text: Column, occurrences: Column) -> Column:
-    """Greedy selection by (rank, start), then text order."""
-    kept = keep_non_overlapping(F.array_sort(occurrences), _OCCURRENCE)
+    """Greedy selection by (rank, start), then text order.
+
+    Sorted by start, any overlap shows between neighbours; without one there is nothing to select.
+    """
+    placed = F.array_sort(
+        F.transform(occurrences, lambda o: F.struct(o["start"].alias("start"), o["end"].alias("end")))
+    )
+    clash = F.exists(
+        F.arrays_zip(placed.alias("a"), F.slice(placed, 2, F.greatest(F.size(placed) - 1, F.lit(0))).alias("b")),
+        lambda z: F.coalesce(z["b"]["start"] < z["a"]["end"], F.lit(False)),
+    )
+    kept = F.when(clash, keep_non_overlapping(F.array_sort(occurrences), _OCCURRENCE)).otherwise(occurrences)
     by_start = F.array_sort(
         F.transform(
             kept,
@@ -174,7 +184,8 @@ def add_marker_hits(sentences: DataFrame, lexicon: Lexicon | None = None, text:
             ),
         )
     )
-    return low.withColumn("markers", _finish_hits(F.col(text), occurrences)).drop("_low")
+    placed = low.withColumn("_occ", occurrences)
+    return placed.withColumn("markers", _finish_hits(F.col(text), F.col("_occ"))).drop("_low", "_occ")
 
 
 def marker_hits_by_join(

@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 KEYS = ["l_shipdate", "l_partkey", "l_suppkey", "l_linenumber"]
+# Orders with more items become several papers, so that no paper grows with the tables.
+PAPER_SIZE = 64
+PAPER_STEP = 10**12
 
 
 def letters(number: Column, width: int) -> Column:
@@ -18,22 +21,34 @@ def letters(number: Column, width: int) -> Column:
     return F.translate(F.lpad(number.cast("string"), width, "0"), "0123456789", "abcdefghij")
 
 
+def _ranked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lineitems with their 1-based rank in the order.
+
+    The rank is the number of items on earlier days plus the rank within the day: the windows
+    run over one day of one order, and over one small row per day, never over a whole order.
+    """
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", *KEYS, "l_quantity", "l_returnflag")
+    day = ["l_orderkey", "l_shipdate"]
+    local = F.row_number().over(Window.partitionBy(*day).orderBy(*KEYS[1:]))
+    per_day = items.groupBy(*day).agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("l_orderkey").orderBy("l_shipdate").rowsBetween(Window.unboundedPreceding, -1)
+    starts = per_day.select(*day, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    return items.withColumn("local", local).join(starts, day).withColumn("rank", F.col("local") + F.col("before"))
+
+
 def reference_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One structured reference per lineitem."""
-    # one explicit exchange serves the numbering and the grouping to papers
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
-        "l_orderkey", *KEYS, "l_quantity", "l_returnflag"
-    ).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey")
-    w = Window.partitionBy("l_orderkey").orderBy(*KEYS)
-    return items.select(
-        F.col("l_orderkey").alias("doc_id"),
-        F.row_number().over(w).alias("ref_index"),
+    block = F.floor((F.col("rank") - 1) / PAPER_SIZE)
+    return _ranked_items(spark, sf_dir).select(
+        (F.col("l_orderkey") + block * PAPER_STEP).cast("bigint").alias("doc_id"),
+        ((F.col("rank") - 1) % PAPER_SIZE + 1).cast("int").alias("ref_index"),
         F.concat(F.lit("S"), letters(F.col("l_suppkey"), 4)).alias("surname"),
         F.year("l_shipdate").cast("string").alias("year"),
         (F.col("l_returnflag") != "R").alias("is_journal"),
         F.col("l_quantity").cast("int").cast("string").alias("volume"),
         F.concat(F.lit("x"), letters(F.col("l_partkey"), 6)).alias("tag"),
         F.col("l_linenumber").cast("string").alias("issue"),
+        F.col("l_linenumber").alias("line_no"), "l_partkey", "l_suppkey",
     )
 
 
@@ -144,7 +159,8 @@ def papers(spark: SparkSession, sf_dir: str, style: str = "mixed", noise: bool =
     rows = reference_rows(spark, sf_dir).select(
         "doc_id", "ref_index", F.concat(printed, furniture).alias("body"), entry.alias("entry"), "surname"
     )
-    grouped = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ref_index", "body", "entry", "surname"))).alias("r"))
+    parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    grouped = rows.repartition(parallel, "doc_id").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ref_index", "body", "entry", "surname"))).alias("r"))
     body = F.array_join(F.transform("r", lambda x: x["body"]), "")
     listed = F.array_join(F.transform("r", lambda x: x["entry"]), "\n")
     own = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("Ana "), F.col("r")[0]["surname"])).otherwise(F.lit("Ana Quist"))
