@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from acclaim import fixed
+from acclaim.functions.once import let
 from acclaim.functions.text import has_han, strip
 
 
@@ -24,6 +25,10 @@ def _surname_index(words: Column) -> Column:
 
 def surname(name: Column) -> Column:
     """Han names whole; "Last, First" -> Last; else the last word with its particles."""
+    return let(name, _surname)
+
+
+def _surname(name: Column) -> Column:
     words = _words(name)
     index = _surname_index(words)
     return (
@@ -48,6 +53,10 @@ def _initials(given: Column) -> Column:
 
 def abbreviate(name: Column) -> Column:
     """GB/T 7714 form: "Oleg Borodin" and "Borodin, Oleg" -> "Borodin O"."""
+    return let(name, _abbreviate)
+
+
+def _abbreviate(name: Column) -> Column:
     bare = F.trim(name)
     words = _words(name)
     index = _surname_index(words)

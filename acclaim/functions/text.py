@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from acclaim import fixed
+from acclaim.functions.once import let
 
 HAN = r"\x{4e00}-\x{9fff}"
 _PARAGRAPH = "\u001f"
@@ -198,7 +199,6 @@ def first_json_object(text: Column) -> Column:
     Falls back to "first { to last }" when the braces never balance.
     """
     bare = F.regexp_replace(F.trim(text), r"^```[^\n]*\n|```$", "")
-    tail = F.regexp_extract(bare, r"(?s)(\{.*)$", 1)
 
     def step(acc: Column, ch: Column) -> Column:
         live = ~acc["done"]
@@ -224,14 +224,17 @@ def first_json_object(text: Column) -> Column:
         F.lit(0).alias("depth"), F.lit(False).alias("in_str"), F.lit(False).alias("esc"), F.lit(0).alias("n"),
         F.lit(False).alias("done"),
     )
-    # only structural characters matter: walk quotes, backslashes and braces with the text between them
-    pieces = F.filter(F.split(tail, r"(?<=[{}\"\\])|(?=[{}\"\\])"), lambda p: F.length(p) > 0)
-    walk = F.aggregate(F.transform(pieces, lambda p: p), init, step)
-    upto = F.array_join(F.slice(pieces, 1, walk["n"]), "")
-    fallback = F.regexp_extract(tail, r"(?s)^(\{.*\})", 1)
-    return (
-        F.when(F.length(tail) == 0, bare)
-        .when(walk["done"], upto)
-        .when(F.length(fallback) > 0, fallback)
-        .otherwise(tail)
-    )
+
+    def cut(pieces: Column) -> Column:
+        # only structural characters matter: walk quotes, backslashes and braces with the text between them
+        return let(
+            F.aggregate(pieces, init, step),
+            lambda walk: F.when(walk["done"], F.array_join(F.slice(pieces, 1, walk["n"]), "")),
+        )
+
+    def from_brace(tail: Column) -> Column:
+        pieces = F.filter(F.split(tail, r"(?<=[{}\"\\])|(?=[{}\"\\])"), lambda p: F.length(p) > 0)
+        to_last = F.nullif(F.regexp_extract(tail, r"(?s)^(\{.*\})", 1), F.lit(""))
+        return F.when(F.length(tail) > 0, F.coalesce(let(pieces, cut), to_last, tail))
+
+    return F.coalesce(let(F.regexp_extract(bare, r"(?s)(\{.*)$", 1), from_brace), bare)

@@ -15,11 +15,13 @@ import re
 from collections import defaultdict
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from acclaim import schemas
+from acclaim.functions.once import built_once, let, with_once
 from acclaim.functions.spans import fence_safe, find_all, keep_non_overlapping
 from acclaim.functions.text import HAN
 from acclaim.sources.lexicon import default_phrases
@@ -45,6 +47,7 @@ class Lexicon:
     rows: tuple[tuple[str, str, int, bool], ...]
 
     @staticmethod
+    @cache
     def default() -> Lexicon:
         return Lexicon(tuple(default_phrases()))
 
@@ -56,6 +59,7 @@ class Lexicon:
             raise ValueError(f"more than {MAX_INLINE_PHRASES} phrases: use marker_hits_by_join")
         return Lexicon(tuple(tuple(r) for r in rows))
 
+    @cache
     def gate(self) -> str:
         """Regex that matches exactly the texts with at least one hit."""
         english = {p.lower() for p, lang, *_ in self.rows if lang == "en"}
@@ -67,6 +71,50 @@ class Lexicon:
             parts.append(_alternation([p for p in chinese if not any(q != p and q in p for q in chinese)]))
         return "|".join(parts)
 
+    @cache
+    def longest_wins(self) -> bool:
+        """Is every phrase ranked before all phrases contained in it?"""
+        rank = {(lang, p.lower() if lang == "en" else p): r for p, lang, r, _ in reversed(self.rows)}
+        for (lang, phrase), r in rank.items():
+            units, glue = (phrase.split(" "), " ") if lang == "en" else (list(phrase), "")
+            parts = (glue.join(units[i:j]) for i in range(len(units)) for j in range(i + 1, len(units) + 1))
+            if any(rank.get((lang, part), r) < r for part in parts):
+                return False
+        return True
+
+    @cache
+    def longest_pattern(self) -> str:
+        """Zero-width matches at phrase starts; group 1 or 2 is the longest phrase there."""
+        heads: dict[str, list[str]] = defaultdict(list)
+        chinese = []
+        for phrase, lang, *_ in self.rows:
+            if lang == "en":
+                head, _, tail = phrase.lower().partition(" ")
+                heads[head].append(tail)
+            else:
+                chinese.append(phrase)
+        options = []
+        for head, tails in sorted(heads.items()):
+            longer = sorted({re.escape(t) for t in tails if t}, key=lambda t: (-len(t), t))
+            rest = f"(?: (?:{'|'.join(longer)}){_NOT_BEFORE_WORD})" if longer else ""
+            options.append(re.escape(head) + (rest + ("?" if "" in tails else "") if rest else ""))
+        parts = []
+        if options:
+            initials = "".join(sorted({re.escape(o[0]) for o in heads}))
+            parts.append(f"(?=[{initials}]){_NOT_AFTER_WORD}(?=((?:{'|'.join(options)}){_NOT_BEFORE_WORD}))")
+        else:
+            parts.append("(?!)()")
+        if chinese:
+            longest = sorted(set(chinese), key=lambda p: (-len(p), p))
+            parts.append(f"(?=[{''.join(sorted({p[0] for p in chinese}))}])(?=({'|'.join(map(re.escape, longest))}))")
+        else:
+            parts.append("(?!)()")
+        return "|".join(parts)
+
+    @cache
+    def bare_phrases(self) -> str:
+        return "\n" + "\n".join(sorted(p.lower() for p, _, _, is_bare in self.rows if is_bare)) + "\n"
+
     def column(self) -> Column:
         """Constant array of struct(head, phrases), phrases = struct(phrase, pattern, width, rank, is_bare).
 
@@ -138,12 +186,13 @@ def _finish_hits(text: Column, occurrences: Column) -> Column:
     placed = F.array_sort(
         F.transform(occurrences, lambda o: F.struct(o["start"].alias("start"), o["end"].alias("end")))
     )
-    clash = F.exists(
-        F.arrays_zip(placed.alias("a"), F.slice(placed, 2, F.greatest(F.size(placed) - 1, F.lit(0))).alias("b")),
-        lambda z: F.coalesce(z["b"]["start"] < z["a"]["end"], F.lit(False)),
-    )
+    clash = let(placed, _clash)
     kept = F.when(clash, keep_non_overlapping(F.array_sort(occurrences), _OCCURRENCE)).otherwise(occurrences)
-    by_start = F.array_sort(
+    return let(_in_text_order(kept), lambda hits: _with_text(text, hits))
+
+
+def _in_text_order(kept: Column) -> Column:
+    return F.array_sort(
         F.transform(
             kept,
             lambda o: F.struct(
@@ -151,8 +200,11 @@ def _finish_hits(text: Column, occurrences: Column) -> Column:
             ),
         )
     )
+
+
+def _with_text(text: Column, hits: Column) -> Column:
     return F.transform(
-        by_start,
+        hits,
         lambda o: F.struct(
             F.substring(text, o["start"] + 1, o["end"] - o["start"]).alias("marker"),
             o["start"].alias("start"), o["end"].alias("end"), o["is_bare_word"].alias("is_bare_word"),
@@ -160,23 +212,41 @@ def _finish_hits(text: Column, occurrences: Column) -> Column:
     )
 
 
-def has_marker(text: Column, lexicon: Lexicon | None = None) -> Column:
-    return text.rlike((lexicon or Lexicon.default()).gate())
+@built_once
+def _longest_hits(lexicon: Lexicon) -> Column:
+    """Longest phrase at every phrase start of ``_low`` that lies in no other one, in text order."""
+    found = find_all(F.col("_low"), lexicon.longest_pattern(), [("en", 1), ("zh", 2)])
+    spans = F.transform(
+        found,
+        lambda f: let(
+            F.concat(f["en"], f["zh"]),
+            lambda phrase: F.struct(
+                f["start"].alias("start"), (f["start"] + F.length(phrase)).alias("end"),
+                F.contains(F.lit(lexicon.bare_phrases()), F.concat(F.lit("\n"), phrase, F.lit("\n"))).alias("is_bare_word"),
+            ),
+        ),
+    )
+    # starts ascend, so a span is contained in an earlier one when its end does not advance
+    return F.aggregate(
+        spans,
+        F.array().cast("array<struct<start:int,end:int,is_bare_word:boolean>>"),
+        lambda acc, s: F.when(
+            s["end"] > F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0)), F.concat(acc, F.array(s))
+        ).otherwise(acc),
+    )
 
 
-def add_marker_hits(sentences: DataFrame, lexicon: Lexicon | None = None, text: str = "text") -> DataFrame:
-    """Append ``markers``, the non-overlapping hits of each sentence sorted by start."""
-    lexicon = lexicon or Lexicon.default()
-    low = sentences.withColumn("_low", ascii_lower(F.col(text)))
-    heads = F.filter(lexicon.column(), lambda g: F.contains(F.col("_low"), g["head"]))
-    present = F.filter(
-        F.flatten(F.transform(heads, lambda g: g["phrases"])), lambda p: F.contains(F.col("_low"), p["phrase"])
-    )
-    occurrences = F.flatten(
+@built_once
+def _all_occurrences(lexicon: Lexicon) -> Column:
+    """Every occurrence of every phrase in ``_low``."""
+    low = F.col("_low")
+    heads = F.filter(lexicon.column(), lambda g: F.contains(low, g["head"]))
+    present = F.filter(F.flatten(F.transform(heads, lambda g: g["phrases"])), lambda p: F.contains(low, p["phrase"]))
+    return F.flatten(
         F.transform(
             present,
             lambda p: F.transform(
-                _pattern_spans(F.col("_low"), p["pattern"], p["width"]),
+                _pattern_spans(low, p["pattern"], p["width"]),
                 lambda s: F.struct(
                     p["rank"].alias("rank"), s.alias("start"), (s + p["width"]).alias("end"),
                     p["is_bare"].alias("is_bare_word"),
@@ -184,8 +254,36 @@ def add_marker_hits(sentences: DataFrame, lexicon: Lexicon | None = None, text:
             ),
         )
     )
-    placed = low.withColumn("_occ", occurrences)
-    return placed.withColumn("markers", _finish_hits(F.col(text), F.col("_occ"))).drop("_low", "_occ")
+
+
+def _clash(placed: Column) -> Column:
+    """Does any span overlap its right neighbour?  Spans are sorted by start."""
+    return F.exists(
+        F.arrays_zip(placed.alias("a"), F.slice(placed, 2, F.greatest(F.size(placed) - 1, F.lit(0))).alias("b")),
+        lambda z: F.coalesce(z["b"]["start"] < z["a"]["end"], F.lit(False)),
+    )
+
+
+def has_marker(text: Column, lexicon: Lexicon | None = None) -> Column:
+    return text.rlike((lexicon or Lexicon.default()).gate())
+
+
+def add_marker_hits(sentences: DataFrame, lexicon: Lexicon | None = None, text: str = "text") -> DataFrame:
+    """Append ``markers``, the non-overlapping hits of each sentence sorted by start."""
+    lexicon = lexicon or Lexicon.default()
+    low = with_once(sentences, "_low", ascii_lower(fence_safe(F.col(text))))
+    col = F.col(text)
+    selected = _finish_hits(col, F.col("_occ"))
+    if not lexicon.longest_wins():
+        every = with_once(low, "_occ", _all_occurrences(lexicon))
+        return with_once(every, "markers", selected).drop("_low", "_occ")
+    # The longest phrases are the answer when they keep clear of each other: whatever they
+    # contain ranks behind them.  Only where they overlap must every occurrence compete.
+    quick = with_once(low, "_hits", _longest_hits(lexicon))
+    competing = F.when(let(F.col("_hits"), _clash), _all_occurrences(lexicon))
+    every = with_once(quick, "_occ", competing)
+    hits = F.when(F.col("_occ").isNull(), _with_text(col, F.col("_hits"))).otherwise(selected)
+    return with_once(every, "markers", hits).drop("_low", "_hits", "_occ")
 
 
 def marker_hits_by_join(
@@ -226,7 +324,8 @@ def marker_hits_by_join(
             F.struct("rank", "start", end.cast("int").alias("end"), F.col("is_bare").alias("is_bare_word"))
         ).alias("_occ")
     )
-    return sentences.join(grouped, list(key)).withColumn("markers", _finish_hits(F.col(text), F.col("_occ"))).drop("_occ")
+    joined = sentences.join(grouped, list(key))
+    return with_once(joined, "markers", _finish_hits(F.col(text), F.col("_occ"))).drop("_occ")
 
 
 def best_marker(markers: Column) -> Column:

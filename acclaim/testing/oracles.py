@@ -45,7 +45,7 @@ s AS (
 _OUTCOME = """
 own AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN surname ELSE 'Quist' END AS own_name FROM r WHERE ref_index = 1),
 o AS (
-  SELECT s.*, lag(text, 1, '') OVER w AS prev_sentence, lead(text, 1, '') OVER w AS next_sentence,
+  SELECT s.*, own_name, lag(text, 1, '') OVER w AS prev_sentence, lead(text, 1, '') OVER w AS next_sentence,
     CASE WHEN t = 6 THEN 'no_author' WHEN t = 5 THEN 'no_year'
          WHEN t = 8 THEN 'none'
          WHEN t = 3 OR own_name = surname OR t IN (4, 2) OR NOT is_journal OR t = 7 THEN 'vetoed' ELSE 'passed' END AS stage,
@@ -342,8 +342,7 @@ FROM d JOIN b ON contains(t, p)""",
 SELECT doc_id, ref_index AS cand_id, text AS sentence FROM s WHERE ref_index % 3 = 0""",
     "evidence_ladder": _S + """
 , starts AS (SELECT *, sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY ref_index) - 1 - length(text) AS start FROM s)
-SELECT doc_id, ref_index AS cand_id, CAST(start AS INTEGER) AS start, CASE WHEN ref_index % 3 = 1 THEN
-  CASE WHEN t = 4 THEN 'head' ELSE 'head' END ELSE 'exact' END AS method FROM starts""",
+SELECT doc_id, ref_index AS cand_id, CAST(start AS INTEGER) AS start, CASE WHEN ref_index % 3 = 1 THEN 'XXX' ELSE 'exact' END AS method FROM starts""",
     "emphasis_spans": _S + f"""
 , n AS (SELECT doc_id, ref_index, text, unnest([{_MARKER_OF_T}, surname, year]) AS needle FROM s)
 SELECT doc_id, ref_index, CAST(strpos(text, needle) - 1 AS INTEGER) AS start, CAST(strpos(text, needle) - 1 + length(needle) AS INTEGER) AS "end"
