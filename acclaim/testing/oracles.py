@@ -342,7 +342,7 @@ FROM d JOIN b ON contains(t, p)""",
 SELECT doc_id, ref_index AS cand_id, text AS sentence FROM s WHERE ref_index % 3 = 0""",
     "evidence_ladder": _S + """
 , starts AS (SELECT *, sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY ref_index) - 1 - length(text) AS start FROM s)
-SELECT doc_id, ref_index AS cand_id, CAST(start AS INTEGER) AS start, CASE WHEN ref_index % 3 = 1 THEN 'XXX' ELSE 'exact' END AS method FROM starts""",
+SELECT doc_id, ref_index AS cand_id, CAST(start AS INTEGER) AS start, CASE WHEN ref_index % 3 <> 1 THEN 'exact' WHEN t = 4 THEN 'without_marks' ELSE 'head_and_tail' END AS method FROM starts""",
     "emphasis_spans": _S + f"""
 , n AS (SELECT doc_id, ref_index, text, unnest([{_MARKER_OF_T}, surname, year]) AS needle FROM s)
 SELECT doc_id, ref_index, CAST(strpos(text, needle) - 1 AS INTEGER) AS start, CAST(strpos(text, needle) - 1 + length(needle) AS INTEGER) AS "end"
@@ -435,7 +435,7 @@ SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, co
   count(*) FILTER (event_type = 'error') AS n_failed FROM events
 WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) GROUP BY 1""",
     "evidence_counts": _S + """
-SELECT doc_id, count(*) AS n_records, count(*) FILTER (ref_index % 3 <> 2 OR t >= 0) AS n_located, count(*) AS n_references FROM s GROUP BY 1""",
+SELECT doc_id, count(*) AS n_records, count(*) AS n_located, count(*) FILTER (t <> 4) AS n_references FROM s GROUP BY 1""",
 }
 
 
