@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from acclaim.functions.once import let
+
 _OPEN, _GROUP, _CLOSE = "\u0001", "\u0002", "\u0003"
 _FENCES = _OPEN + _GROUP + _CLOSE
 
@@ -86,26 +88,30 @@ def union_spans(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), F.array().cast(f"array<{SPAN}>"), step)
 
 
-def literal_spans(text: Column, needle: Column) -> Column:
-    """Non-overlapping occurrences of a literal (column) needle; empty for a null or empty needle."""
-    quoted = F.concat(F.lit("\\Q"), F.replace(needle, F.lit("\\E"), F.lit("")), F.lit("\\E"))
-    pieces = F.split(text, quoted)
-    width = F.length(needle)
+def spans_between(pieces: Column, width: Column) -> Column:
+    """Spans of equal width that separate the pieces of a split text."""
 
     def step(acc: Column, piece: Column) -> Column:
         begin = acc["pos"] + F.length(piece)
-        return F.struct(
-            (begin + width).alias("pos"),
-            F.concat(acc["spans"], F.array(F.struct(begin.alias("start"), (begin + width).alias("end")))).alias(
-                "spans"
-            ),
-        )
+        span = F.struct(begin.alias("start"), (begin + width).alias("end"))
+        return F.struct((begin + width).alias("pos"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
     init = F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{SPAN}>").alias("spans"))
-    return F.when(
-        (F.length(needle) > 0) & F.contains(text, needle),
-        F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), init, step, lambda acc: acc["spans"]),
-    ).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return let(
+        pieces, lambda p: F.aggregate(F.slice(p, 1, F.size(p) - 1), init, step, lambda acc: acc["spans"])
+    )
+
+
+def literal_spans(text: Column, needle: Column) -> Column:
+    """Non-overlapping occurrences of a literal (column) needle; empty for a null or empty needle."""
+
+    def find(n: Column) -> Column:
+        quoted = F.concat(F.lit("\\Q"), F.replace(n, F.lit("\\E"), F.lit("")), F.lit("\\E"))
+        return F.when((F.length(n) > 0) & F.contains(text, n), spans_between(F.split(text, quoted), F.length(n))).otherwise(
+            F.array().cast(f"array<{SPAN}>")
+        )
+
+    return let(needle, find)
 
 
 def bracket_pairs(text: Column, typed: bool) -> Column:

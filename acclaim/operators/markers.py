@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from acclaim import schemas
 from acclaim.functions.once import built_once, let, with_once
-from acclaim.functions.spans import fence_safe, find_all, keep_non_overlapping
+from acclaim.functions.spans import fence_safe, find_all, keep_non_overlapping, spans_between
 from acclaim.functions.text import HAN
 from acclaim.sources.lexicon import default_phrases
 
@@ -74,7 +74,10 @@ class Lexicon:
     @cache
     def longest_wins(self) -> bool:
         """Is every phrase ranked before all phrases contained in it?"""
-        rank = {(lang, p.lower() if lang == "en" else p): r for p, lang, r, _ in reversed(self.rows)}
+        rank: dict[tuple[str, str], int] = {}
+        for p, lang, r, _ in self.rows:
+            key = (lang, p.lower() if lang == "en" else p)
+            rank[key] = min(r, rank.get(key, r))
         for (lang, phrase), r in rank.items():
             units, glue = (phrase.split(" "), " ") if lang == "en" else (list(phrase), "")
             parts = (glue.join(units[i:j]) for i in range(len(units)) for j in range(i + 1, len(units) + 1))
@@ -162,22 +165,6 @@ def _alternation(phrases: Iterable[str]) -> str:
                             for k, v in sorted(groups.items())) + ")"
 
 
-def _pattern_spans(text: Column, pattern: Column, width: Column) -> Column:
-    """Spans of a pattern of known width: the text between matches fixes the offsets."""
-    pieces = F.split(text, pattern)
-    init = F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("starts"))
-    walked = F.aggregate(
-        F.slice(pieces, 1, F.size(pieces) - 1),
-        init,
-        lambda acc, piece: F.struct(
-            (acc["pos"] + F.length(piece) + width).alias("pos"),
-            F.concat(acc["starts"], F.array(acc["pos"] + F.length(piece))).alias("starts"),
-        ),
-        lambda acc: acc["starts"],
-    )
-    return walked
-
-
 def _finish_hits(text: Column, occurrences: Column) -> Column:
     """Greedy selection by (rank, start), then text order.
 
@@ -246,9 +233,9 @@ def _all_occurrences(lexicon: Lexicon) -> Column:
         F.transform(
             present,
             lambda p: F.transform(
-                _pattern_spans(low, p["pattern"], p["width"]),
+                spans_between(F.split(low, p["pattern"]), p["width"]),
                 lambda s: F.struct(
-                    p["rank"].alias("rank"), s.alias("start"), (s + p["width"]).alias("end"),
+                    p["rank"].alias("rank"), s["start"].alias("start"), s["end"].alias("end"),
                     p["is_bare"].alias("is_bare_word"),
                 ),
             ),

@@ -15,6 +15,9 @@ def build_session(app_name: str = "acclaim", master: str | None = None, **conf:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # text work is heavy per byte: keep small shuffles spread out, and read text in small splits
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256k",
+        "spark.sql.files.maxPartitionBytes": "32m",
         **conf,
     }
     builder = SparkSession.builder.appName(app_name)

@@ -18,7 +18,7 @@ def read_text_folder(spark: SparkSession, folder: str, extensions: tuple[str, ..
 
     Extensions match in any case; dot-files are skipped.
     """
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", recursive).text(folder)
+    raw = spark.read.text(folder, wholetext=True, recursiveFileLookup=recursive)
     name = F.col("_metadata.file_name")
     wanted = f"(?i)^[^.].*\\.(?:{'|'.join(extensions)})$"
     return raw.select(

@@ -13,7 +13,7 @@ def read_verdict_files(spark: SparkSession, path: str) -> DataFrame:
     """One response per file named ``<doc_id>_<batch_no>.<ext>``."""
     stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(\d+)_(\d+)\.[^.]+$", 1)
     batch = F.regexp_extract(F.col("_metadata.file_name"), r"^(\d+)_(\d+)\.[^.]+$", 2)
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     return raw.select(
         stem.cast("bigint").alias("doc_id"), batch.cast("int").alias("batch_no"), F.col("value").alias("response")
     )
