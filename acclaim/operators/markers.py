@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from acclaim import schemas
 from acclaim.functions.once import built_once, let, with_once
-from acclaim.functions.spans import fence_safe, find_all, keep_non_overlapping, spans_between
+from acclaim.functions.spans import fence_safe, find_all, find_many, keep_non_overlapping, spans_between
 from acclaim.functions.text import HAN
 from acclaim.sources.lexicon import default_phrases
 
@@ -280,13 +280,23 @@ def marker_hits_by_join(
 
     Spark broadcasts the phrase table when its measured size allows and shuffles otherwise.
     """
-    low = sentences.select(*key, F.col(text).alias("_text"), ascii_lower(fence_safe(F.col(text))).alias("_low"))
-    words = low.select(*key, "_low", F.explode(find_all(F.col("_low"), r"[\p{L}\p{N}_]+")).alias("w")).select(
-        *key, "_low", F.lit("en").alias("lang"), F.col("w.match").alias("head"), F.col("w.start").alias("start")
+    # every position carries only as much text as the longest phrase can need, never the sentence
+    longest = lexicon.agg(F.max(F.length("phrase"))).first()[0] or 0
+    low = with_once(sentences.select(*key, F.col(text)), "_low", ascii_lower(fence_safe(F.col(text)))).select(*key, "_low")
+
+    def window(start: Column) -> Column:
+        return F.substring("_low", start + 1, F.lit(longest + 1))
+
+    word_spots = F.transform(
+        find_many(F.col("_low"), r"[\p{L}\p{N}_]+"),
+        lambda w: F.struct(
+            F.lit("en").alias("lang"), w["match"].alias("head"), w["start"].alias("start"), window(w["start"]).alias("w")
+        ),
+    )
+    han_spots = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.length("_low") - 2, F.lit(0))),
+        lambda i: F.struct(F.lit("zh").alias("lang"), F.substring("_low", i + 1, F.lit(2)).alias("head"), i.alias("start"), window(i).alias("w")),
     )
-    han = low.filter(F.col("_low").rlike(f"[{HAN}]")).select(
-        *key, "_low", F.explode(F.sequence(F.lit(0), F.greatest(F.length("_low") - 2, F.lit(0)))).alias("start")
-    ).select(*key, "_low", F.lit("zh").alias("lang"), F.expr("substring(_low, start + 1, 2)").alias("head"), "start")
     phrases = lexicon.select(
         "lang", "rank", "is_bare",
         F.when(F.col("lang") == "en", ascii_lower(F.col("phrase"))).otherwise(F.col("phrase")).alias("phrase"),
@@ -296,15 +306,15 @@ def marker_hits_by_join(
             F.substring("phrase", 1, 2)
         ),
     )
-    end = F.col("start") + F.length("phrase")
+    spots = low.select(*key, F.inline(word_spots)).unionByName(
+        low.filter(F.col("_low").rlike(f"[{HAN}]")).select(*key, F.inline(han_spots)).filter(F.col("head").rlike(f"^[{HAN}]"))
+    )
+    width = F.length("phrase")
+    end = F.col("start") + width
     hits = (
-        words.unionByName(han.filter(F.col("head").rlike(f"^[{HAN}]")))
-        .join(phrases, ["lang", "head"])
-        .filter(F.substring("_low", F.col("start") + 1, F.length("phrase")) == F.col("phrase"))
-        .filter(
-            (F.col("lang") == "zh")
-            | ~F.substring(F.col("_low"), end + 1, F.lit(1)).rlike(r"^[\p{L}\p{N}_]")
-        )
+        spots.join(phrases, ["lang", "head"])
+        .filter(F.substring("w", F.lit(1), width) == F.col("phrase"))
+        .filter((F.col("lang") == "zh") | ~F.substring("w", width + 1, F.lit(1)).rlike(r"^[\p{L}\p{N}_]"))
     )
     grouped = hits.groupBy(*key).agg(
         F.collect_list(
