@@ -58,28 +58,6 @@ def find_all(text: Column, pattern: str, groups: Sequence[tuple[str, int]] = ())
     return F.aggregate(cut, start, step, lambda acc: acc["hits"])
 
 
-def find_many(text: Column, pattern: str) -> Column:
-    """Like ``find_all`` without groups, for texts with thousands of matches.
-
-    The offsets are blocked prefix sums, so the cost stays near-linear in the matches.
-    """
-    fenced = F.regexp_replace(text, pattern, f"{_OPEN}$0{_CLOSE}")
-
-    def place(cut: Column) -> Column:
-        lengths = F.transform(
-            cut, lambda c: F.length(c[0]) + F.when(F.size(c) > 1, F.length(F.element_at(c, -1))).otherwise(0)
-        )
-        zipped = F.arrays_zip(cut.alias("c"), running_starts(lengths).alias("s"))
-        return F.transform(
-            F.slice(zipped, 2, F.greatest(F.size(cut) - 1, F.lit(0))),
-            lambda z: F.struct(
-                z["s"].alias("start"), (z["s"] + F.length(z["c"][0])).alias("end"), z["c"][0].alias("match")
-            ),
-        )
-
-    return let(F.transform(F.split(fenced, _OPEN), lambda c: F.split(c, _CLOSE)), place)
-
-
 def overlaps(a: Column, b: Column) -> Column:
     """Half-open interval overlap of two structs with ``start`` and ``end``."""
     return (a["start"] < b["end"]) & (b["start"] < a["end"])

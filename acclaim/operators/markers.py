@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from acclaim import schemas
 from acclaim.functions.once import built_once, let, with_once
-from acclaim.functions.spans import fence_safe, find_all, find_many, keep_non_overlapping, spans_between
+from acclaim.functions.spans import fence_safe, find_all, keep_non_overlapping, running_starts, spans_between
 from acclaim.functions.text import HAN
 from acclaim.sources.lexicon import default_phrases
 
@@ -280,22 +280,30 @@ def marker_hits_by_join(
 
     Spark broadcasts the phrase table when its measured size allows and shuffles otherwise.
     """
-    # every position carries only as much text as the longest phrase can need, never the sentence
-    longest = lexicon.agg(F.max(F.length("phrase"))).first()[0] or 0
-    low = with_once(sentences.select(*key, F.col(text)), "_low", ascii_lower(fence_safe(F.col(text)))).select(*key, "_low")
-
-    def window(start: Column) -> Column:
-        return F.substring("_low", start + 1, F.lit(longest + 1))
-
-    word_spots = F.transform(
-        find_many(F.col("_low"), r"[\p{L}\p{N}_]+"),
-        lambda w: F.struct(
-            F.lit("en").alias("lang"), w["match"].alias("head"), w["start"].alias("start"), window(w["start"]).alias("w")
+    # Every word carries the few words a phrase can need.  They come from the neighbouring pieces of
+    # the split text: a substring of the sentence would be counted from its start for every word.
+    word = r"[\p{L}\p{N}_]+"
+    most_words = lexicon.agg(F.max(F.regexp_count("phrase", F.lit(word)))).first()[0] or 1
+    longest = lexicon.agg(F.max(F.length("phrase"))).first()[0] or 1
+    safe = with_once(sentences.select(*key, F.col(text)), "_safe", fence_safe(F.col(text))).select(*key, "_safe")
+    pieces = with_once(safe, "_p", F.split(F.regexp_replace("_safe", word, "\u0001$0"), "\u0001"))
+    placed = F.arrays_zip(F.col("_p").alias("p"), running_starts(F.transform("_p", lambda p: F.length(p))).alias("s"))
+    word_spots = F.filter(
+        F.transform(
+            placed,
+            lambda z, i: F.struct(
+                F.lit("en").alias("lang"), ascii_lower(F.regexp_extract(z["p"], f"^{word}", 0)).alias("head"),
+                z["s"].alias("start"), F.array_join(F.slice("_p", i + 1, F.lit(most_words + 1)), "").alias("w"),
+            ),
         ),
+        lambda spot: spot["head"] != "",
     )
     han_spots = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.length("_low") - 2, F.lit(0))),
-        lambda i: F.struct(F.lit("zh").alias("lang"), F.substring("_low", i + 1, F.lit(2)).alias("head"), i.alias("start"), window(i).alias("w")),
+        F.sequence(F.lit(0), F.greatest(F.length("_safe") - 2, F.lit(0))),
+        lambda i: F.struct(
+            F.lit("zh").alias("lang"), F.substring("_safe", i + 1, F.lit(2)).alias("head"), i.alias("start"),
+            F.substring("_safe", i + 1, F.lit(longest)).alias("w"),
+        ),
     )
     phrases = lexicon.select(
         "lang", "rank", "is_bare",
@@ -306,23 +314,45 @@ def marker_hits_by_join(
             F.substring("phrase", 1, 2)
         ),
     )
-    spots = low.select(*key, F.inline(word_spots)).unionByName(
-        low.filter(F.col("_low").rlike(f"[{HAN}]")).select(*key, F.inline(han_spots)).filter(F.col("head").rlike(f"^[{HAN}]"))
+    spots = pieces.select(*key, F.inline(word_spots)).unionByName(
+        safe.filter(F.col("_safe").rlike(f"[{HAN}]")).select(*key, F.inline(han_spots)).filter(F.col("head").rlike(f"^[{HAN}]"))
     )
     width = F.length("phrase")
-    end = F.col("start") + width
+    found = F.substring("w", F.lit(1), width)
     hits = (
         spots.join(phrases, ["lang", "head"])
-        .filter(F.substring("w", F.lit(1), width) == F.col("phrase"))
+        .filter(F.when(F.col("lang") == "en", ascii_lower(found)).otherwise(found) == F.col("phrase"))
         .filter((F.col("lang") == "zh") | ~F.substring("w", width + 1, F.lit(1)).rlike(r"^[\p{L}\p{N}_]"))
     )
-    grouped = hits.groupBy(*key).agg(
-        F.collect_list(
-            F.struct("rank", "start", end.cast("int").alias("end"), F.col("is_bare").alias("is_bare_word"))
-        ).alias("_occ")
+    occurrence = F.struct(
+        "rank", "start", (F.col("start") + width).cast("int").alias("end"), F.col("is_bare").alias("is_bare_word"),
+        found.alias("marker"),
     )
-    joined = sentences.join(grouped, list(key))
-    return with_once(joined, "markers", _finish_hits(F.col(text), F.col("_occ"))).drop("_occ")
+    grouped = hits.groupBy(*key).agg(F.collect_list(occurrence).alias("_occ"))
+    kind = "struct<rank:int,start:int,end:int,is_bare_word:boolean,marker:string>"
+
+    def by_start(occurrences: Column) -> Column:
+        return F.array_sort(
+            F.transform(
+                occurrences,
+                lambda o: F.struct(
+                    o["start"].alias("start"), o["end"].alias("end"), o["is_bare_word"].alias("is_bare_word"),
+                    o["marker"].alias("marker"),
+                ),
+            )
+        )
+
+    def select(ordered: Column) -> Column:
+        competing = by_start(keep_non_overlapping(F.array_sort("_occ"), kind))
+        return F.transform(
+            F.when(_clash(ordered), competing).otherwise(ordered),
+            lambda o: F.struct(
+                o["marker"].alias("marker"), o["start"].alias("start"), o["end"].alias("end"),
+                o["is_bare_word"].alias("is_bare_word"),
+            ),
+        )
+
+    return with_once(sentences.join(grouped, list(key)), "markers", let(by_start(F.col("_occ")), select)).drop("_occ")
 
 
 def best_marker(markers: Column) -> Column:
