@@ -6,6 +6,7 @@ import os
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,3 +59,35 @@ def by_size(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int,
         size += n
     if low < len(texts):
         yield low, len(texts)
+
+
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2**64, ``n`` of them."""
+    if _powers[0].size < n:
+        for i, base in enumerate((_BASE, _INVERSE)):
+            steps = np.full(max(n, 2 * _powers[i].size), base, np.uint64)
+            steps[0] = 1
+            _powers[i] = np.cumprod(steps)
+    return _powers[0][:n], _powers[1][:n]
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Spread 64-bit values over all bits."""
+    h = h ^ (h >> np.uint64(31))
+    h = h * np.uint64(0xBF58476D1CE4E5B9)
+    h = h ^ (h >> np.uint64(29))
+    h = h * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(32))
+
+
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of ``values[s:e]`` for all spans, from one running sum; equal spans have equal hashes."""
+    powers, inverse = _power_tables(values.size + 1)
+    sums = np.zeros(values.size + 1, np.uint64)
+    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * powers[:-1], out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * inverse[starts])

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acclaim.llm.common import by_size, prepare, row_key, stage
+from acclaim.llm.common import by_size, mixed, prepare, row_key, span_hashes, stage
 
 WINDOW = 13
 GRAM = 5
@@ -36,25 +36,6 @@ _LOWER[65:91] += 32
 _IN_WORD = np.zeros(256, dtype=bool)
 _IN_WORD[48:58] = _IN_WORD[97:123] = _IN_WORD[128:] = True
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if _powers[0].size < n:
-        for i, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(2 * n, base, np.uint64)
-            steps[0] = 1
-            _powers[i] = np.cumprod(steps)
-    return _powers[0][:n], _powers[1][:n]
-
-
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> np.uint64(31))
-    h = h * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
-
 
 class Words:
     """The words of several texts, found and hashed in one sweep over their bytes."""
@@ -71,10 +52,7 @@ class Words:
         self.text = np.searchsorted(text_ends, self.start, side="right")
         self.counts = np.bincount(self.text, minlength=len(texts))
         self.first = np.concatenate([[0], np.cumsum(self.counts)])
-        powers, inverse = _tables(data.size + 1)
-        sums = np.zeros(data.size + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:-1], out=sums[1:])
-        self.hashes = mixed((sums[self.end] - sums[self.start]) * inverse[self.start])
+        self.hashes = span_hashes(data, self.start, self.end)
 
     def word(self, i: int) -> str:
         return self.data[self.start[i]:self.end[i]].decode("utf-8", "surrogatepass")

@@ -19,27 +19,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from acclaim.llm.common import prepare
+from acclaim.llm.common import prepare, span_hashes
 
 #: hashes kept per fingerprint
 SIGNATURE = 128
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, at least ``n`` of them."""
-    if _powers[0].size < n:
-        size = max(n, 2 * _powers[0].size)
-        for i, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[i] = np.cumprod(steps)
-    return _powers[0][:n], _powers[1][:n]
-
 
 def phrase_ends(text: str, seen: set[str], at: int = 0) -> list[int]:
     """Ends of the LZ78 phrases of ``text[at:]``; ``seen`` is the dictionary and grows."""
@@ -57,17 +41,8 @@ def phrase_ends(text: str, seen: set[str], at: int = 0) -> list[int]:
 
 def phrase_hashes(text: str, starts: list[int], ends: list[int]) -> np.ndarray:
     """64-bit hashes of ``text[s:e]``, from one running sum over the code points."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    powers, inverse = _power_tables(points.size + 1)
-    sums = np.zeros(points.size + 1, np.uint64)
-    np.cumsum((points + np.uint64(1)) * powers[:-1], out=sums[1:])
-    s, e = np.asarray(starts, np.int64), np.asarray(ends, np.int64)
-    h = (sums[e] - sums[s]) * inverse[s]
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(32))
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return span_hashes(points, np.asarray(starts, np.int64), np.asarray(ends, np.int64))
 
 
 def signature(hashes: np.ndarray, size: int = SIGNATURE) -> np.ndarray:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acclaim.llm import decontamination, langid, lzprint, packing, simhash
+from acclaim.llm import chat, decontamination, editcounts, langid, licenses, lzprint, mixing, packing, planes, simhash
 from acclaim.llm.common import remainder, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -36,11 +36,57 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three edits in every document: an insertion at a third, a replacement at the half, a deletion near the end."""
+    vocabulary = vocabulary_path(BYTE_BPE)
+    trees = editcounts.count_trees(table(spark, sf_dir, "documents"), vocabulary, keep=("doc_id",))
+    n = F.length(F.array_join("segments", "")).cast("long")
+    edit = lambda at, remove, insert: F.struct(at.cast("long").alias("at"), F.lit(remove).cast("long").alias("remove"), F.lit(insert).alias("insert"))
+    edits = F.array(edit(F.floor(n / 3), 0, " an inserted passage,"), edit(F.floor(n / 2), 20, "\n\nReplaced "), edit(n - 30, 12, ""))
+    trees = trees.withColumn("edits", edits).withColumn("n_chars", n).withColumnRenamed("n_tokens", "n_tokens_before")
+    edited = editcounts.apply_edits(trees, vocabulary, keep=("doc_id", "n_chars", "n_tokens_before"))
+    text = F.array_join("segments", "")
+    return edited.select(
+        "doc_id", "n_chars", F.col("n_tokens_before").alias("n_tokens"), F.length(text).cast("long").alias("edited_chars"),
+        F.sha2(text, 256).alias("edited_sha256"), F.col("n_tokens").alias("edited_tokens"), "encoded_chars",
+    )
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.scores(table(spark, sf_dir, "documents"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.known_digests(spark))
+
+
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.lit("</s>[INST] ok [/INST]")
+    role = F.when(F.col("id") == 0, F.lit("user")).otherwise(F.lit("assistant"))
+    added = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), said.alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    out = chat.format_conversations(rows).withColumn("formatted", chat.training_text(F.col("segments")))
+    out = out.withColumn("turns", chat.read_turns(F.col("formatted"))).withColumn("loss", chat.loss_text(F.col("segments")))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"), "valid",
+    )
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = planes.new_path(spark)
+    planes.write_token_files(table(spark, sf_dir, "documents"), path, vocabulary_path(BYTE_BPE))
+    ids = planes.read_token_files(spark, path)
+    return ids.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs, remainder(F.col("doc_id"), 5) != 0)
@@ -51,7 +97,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_best_fit_packing, op2_phrase_fingerprints, op3_decontamination, op5_simhash_near_dedup, op10_language_id,
+        op1_best_fit_packing, op2_phrase_fingerprints, op3_decontamination, op4_edit_counts, op5_simhash_near_dedup,
+        op6_context_mixing, op7_license_scan, op8_chat_formatting, op9_token_files, op10_language_id,
     )}
 
 
@@ -86,5 +133,57 @@ FROM low LEFT JOIN hit USING (row_no) LEFT JOIN found USING (row_no)
 """
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def op7_sql() -> str:
+    """The canonical form as nested regular expressions, looked up for whole texts and for lines."""
+
+    def canonical(text: str) -> str:
+        # the d flag (only \n ends a line) is always on in this dialect
+        out = f"regexp_replace(lower({text}), {_quoted(licenses.COPYRIGHT_LINE.replace('(?md)', '(?m)'))}, '', 'g')"
+        for pattern, replacement in licenses.SPELLINGS:
+            out = f"regexp_replace({out}, {_quoted(pattern)}, {_quoted(replacement)}, 'g')"
+        return f"trim(regexp_replace({out}, '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]+', ' ', 'g'))"
+
+    texts = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in licenses.KNOWN_TEXTS)
+    return f"""
+WITH known AS (SELECT form, min(license) AS license FROM (SELECT license, {canonical('text')} AS form FROM (VALUES {texts}) t(license, text)) WHERE form <> '' GROUP BY form),
+docs AS (SELECT row_number() OVER () AS row_no, doc_id, text, nullif({canonical('text')}, '') AS form FROM documents),
+lines AS (SELECT row_no, {canonical('line')} AS form FROM (SELECT row_no, unnest(string_split(text, chr(10))) AS line FROM docs)),
+found AS (SELECT row_no, string_agg(DISTINCT license, ',' ORDER BY license) AS line_licenses, count(*) AS n FROM lines JOIN known USING (form) GROUP BY row_no)
+SELECT doc_id, sha256(docs.form) AS digest, license, coalesce(line_licenses, '') AS line_licenses, CAST(coalesce(n, 0) AS BIGINT) AS n_license_lines
+FROM docs LEFT JOIN known USING (form) LEFT JOIN found USING (row_no)"""
+
+
+def op8_sql(template: chat.Template = chat.TEMPLATE) -> str:
+    """Digests straight from the rows; lengths from the escaping rule."""
+    escaped = "replace(text, '\\', '\\\\')"
+    for mark in template.controls:
+        escaped = f"replace({escaped}, '{mark}', '{mark[0]}\\{mark[1:]}')"
+    around = " ".join(f"WHEN role = '{name}' THEN {len(t.open) + len(t.close)}" for name, t in template.turns.items())
+    moves = ", ".join(f"'{state}>{role}'" for state, role in template.moves)
+    loss = ", ".join(f"'{name}'" for name, t in template.turns.items() if t.loss)
+    final = ", ".join(f"'{role}'" for role in template.final)
+    said = "'</s>[INST] ok [/INST]'"
+    order = "ORDER BY turn NULLS FIRST, role, text"
+    return f"""
+WITH rows_ AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', {said}), (-7, 1, 'assistant', {said}))),
+turns AS (
+  SELECT *, (coalesce(lag(role) OVER (PARTITION BY conv_id {order}), '') || '>' || role) IN ({moves}) AS allowed,
+         length({escaped}) + CASE {around} ELSE length(role) + {sum(map(len, template.other))} END AS size
+  FROM rows_)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' {order})) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role IN ({loss})), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' {order}) FILTER (role IN ({loss})), '')) AS loss_sha256,
+       CAST(sum(size) + {len(template.begin)} AS BIGINT) AS formatted_chars,
+       bool_and(allowed) AND last(role {order}) IN ({final}) AS valid
+FROM turns GROUP BY conv_id"""
+
+
 def llm_oracles() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL}
+    return {"op3_decontamination": OP3_SQL, "op7_license_scan": op7_sql(), "op8_chat_formatting": op8_sql()}
