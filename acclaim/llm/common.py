@@ -14,6 +14,10 @@ import acclaim
 from acclaim.session import write_stage
 
 
+#: a column name that tables are not expected to have
+KEY = "_acclaim_row_key"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -44,8 +48,8 @@ def remainder(doc_id: Column, modulus: int) -> Column:
 
 
 def row_key(df: DataFrame) -> DataFrame:
-    """Append ``_key``: a hash of (doc_id, text), which repeated rows share and null ids survive."""
-    return df.withColumn("_key", F.xxhash64(F.lit(7), "doc_id", "text"))
+    """Append the column ``KEY``: a hash of (doc_id, text), which repeated rows share and null ids survive."""
+    return df.withColumn(KEY, F.xxhash64(F.lit(7), "doc_id", "text"))
 
 
 def by_size(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, int]]:

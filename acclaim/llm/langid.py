@@ -217,6 +217,8 @@ def identify(docs: DataFrame, model: Models | None, keep: tuple[str, ...] = ("do
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join([f"`{name}` {types[name]}" for name in keep] + ["lang_pred string, score double, rejected boolean, _bits double"])
     names = [*keep, "lang_pred", "score", "rejected", "_bits"]
+    read = list(keep) if "text" in keep else [*keep, "text"]
+    text_at = read.index("text")
 
     def judge(batches):
         import pyarrow as pa
@@ -224,16 +226,33 @@ def identify(docs: DataFrame, model: Models | None, keep: tuple[str, ...] = ("do
         model = shared.value
         scorer = _WordScores(model) if model is not None else None
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
+            texts = batch.column(text_at).to_pylist()
             found: list[tuple] = []
             for low, high in by_size(texts):
                 found += scorer.judge(texts[low:high]) if scorer else [(UNKNOWN, 0.0, True, None)] * (high - low)
             kinds = (pa.string(), pa.float64(), pa.bool_(), pa.float64())
             own = [pa.array([r[i] for r in found], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *own], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], *own], names=names)
 
-    # the text a second time, as the last column, so that it may be among the kept ones
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(judge, schema)
+    return docs.select(*read).mapInArrow(judge, schema)
+
+
+def accepted(docs: DataFrame, model: Models | None) -> DataFrame:
+    """The documents that ``identify`` would not reject, with all their columns and no other."""
+    prepare(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    text_at = docs.columns.index("text")
+
+    def judge(batches):
+        import pyarrow as pa
+
+        scorer = _WordScores(shared.value) if shared.value is not None else None
+        for batch in batches:
+            texts = batch.column(text_at).to_pylist()
+            kept = [scorer is not None and not found[2] for low, high in by_size(texts) for found in (scorer.judge(texts[low:high]) if scorer else [None] * (high - low))]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(judge, docs.schema)
 
 
 class _WordScores:

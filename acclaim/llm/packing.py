@@ -23,7 +23,7 @@ from acclaim.llm.tokens import encoder
 
 CAPACITY = 2048
 #: ranks inside one length are counted in this many independent parts
-RANK_PARTS = 64
+RANK_PARTS = 32
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -148,10 +148,10 @@ def place_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     plan = plan.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("_from", "_until", "_first", "_offset"))).alias("_slots"))
     by_part = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     before = per_part.select("length", "_part", F.coalesce(F.sum("_n").over(by_part), F.lit(0)).alias("_before"))
-    # both sides of these joins have at most capacity * RANK_PARTS rows
+    # at most capacity * RANK_PARTS and capacity rows
     in_part = Window.partitionBy("length", "_part").orderBy("doc_id", "piece", "ids_crc32")
     ranked = salted.withColumn("_in", F.row_number().over(in_part) - 1)
-    ranked = ranked.join(F.broadcast(before.join(plan, "length")), ["length", "_part"])
+    ranked = ranked.join(F.broadcast(before), ["length", "_part"]).join(F.broadcast(plan), "length")
     rank = F.col("_before") + F.col("_in")
     slot = F.filter("_slots", lambda s: (s["_from"] <= rank) & (rank < s["_until"]))[0]
     return (

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acclaim.llm.common import prepare, row_key, stage
+from acclaim.llm.common import KEY, prepare, row_key, stage
 
 RADIUS = 4
 SHINGLE = 4
@@ -233,7 +233,7 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE) -> Dat
     Of repeated rows one stays; in a class without any doc_id, the row with the smallest text hash.
     """
     keyed = row_key(docs)
-    found = near_duplicates(keyed, radius, ("doc_id", "_key"), words)
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_key"))
-    kept = found.groupBy("label").agg(F.min_by("_key", order).alias("_key")).select("_key")
-    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    found = near_duplicates(keyed, radius, ("doc_id", KEY), words)
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(KEY))
+    kept = found.groupBy("label").agg(F.min_by(KEY, order).alias(KEY)).select(KEY)
+    return keyed.join(kept, KEY, "left_semi").dropDuplicates([KEY]).drop(KEY)

@@ -17,8 +17,7 @@ from acclaim.llm.queries import BYTE_BPE, vocabulary_path
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that some language's model accepts; ``und`` and rejected ones go."""
     model = langid.fit(docs, remainder(F.col("doc_id"), 5) != 0)
-    found = langid.identify(docs, model, keep=tuple(docs.columns))
-    return found.filter(~F.col("rejected")).select(*docs.columns)
+    return langid.accepted(docs, model)
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
