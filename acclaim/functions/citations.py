@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from acclaim.functions.names import abbreviate, abbreviate_list
 
 _MARK = r"\[(\d+(?:\s*[,，\-–~～]\s*\d+)*)\]"
-# A "range" this wide is two separate numbers, not a list of references.
-_WIDEST_RANGE = 10_000
+# Numbers of more digits are no places in a reference list, and a range between them is just its ends.
+_DIGITS = 6
 
 
 def _expand(part: Column) -> Column:
@@ -17,8 +17,8 @@ def _expand(part: Column) -> Column:
     low, high = ends[0], F.element_at(ends, -1)
     return (
         F.when(F.size(ends) == 1, F.array(low))
-        .when(high - low >= _WIDEST_RANGE, F.array(low, high))
-        .when(low <= high, F.sequence(low, F.greatest(low, F.least(high, low + _WIDEST_RANGE))))
+        .when(high >= 10**_DIGITS, F.array(low, high))
+        .when(low <= high, F.sequence(low, F.greatest(low, F.least(high, F.lit(10**_DIGITS)))))
         .otherwise(F.array().cast("array<int>"))
     )
 

@@ -31,14 +31,16 @@ def build_session(app_name: str = "acclaim", master: str | None = None, **conf:
 def scratch_folder(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only when the cluster names none (tests, a laptop) a temporary folder is chosen and
-    remembered for the rest of the session.
+    Only where driver and executors are one process (tests, a laptop) and none is named, a temporary
+    folder is chosen and remembered for the rest of the session.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     chosen = spark.conf.get("acclaim.scratch.dir", None)
     if not chosen:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         chosen = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("acclaim.scratch.dir", chosen)
     return chosen

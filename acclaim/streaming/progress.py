@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 
 def progress_windows(events: DataFrame, window: str = "1 hour", watermark: str = "10 minutes", ts: str = "ts",
@@ -27,3 +28,22 @@ def progress_windows(events: DataFrame, window: str = "1 hour", watermark: str =
     return counted.select(
         F.col("window.start").alias("window_start"), "n_completed", "n_success", "n_no_result", "n_failed"
     )
+
+
+def run_progress(counted: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Write the windows that each micro-batch has changed to ``out/batch=<id>``; a replay overwrites itself."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return (
+        counted.writeStream.outputMode("update").foreachBatch(write)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
+def latest_progress(spark: SparkSession, out: str) -> DataFrame:
+    """The newest counts of every window, open ones included."""
+    counts = ["n_completed", "n_success", "n_no_result", "n_failed"]
+    written = spark.read.parquet(out)
+    return written.groupBy("window_start").agg(F.max_by(F.struct(*counts), "batch").alias("c")).select("window_start", "c.*")

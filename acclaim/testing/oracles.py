@@ -14,8 +14,7 @@ ranked AS (
   FROM lineitem
 ),
 r AS (
-  SELECT l_orderkey + ((rk - 1) // 64) * 1000000000000 AS doc_id,
-         CAST((rk - 1) % 64 + 1 AS INTEGER) AS ref_index,
+  SELECT l_orderkey AS doc_id, CAST(rk AS INTEGER) AS ref_index,
          'S' || translate(lpad(CAST(l_suppkey AS VARCHAR), 4, '0'), {_DIGITS}) AS surname,
          CAST(year(l_shipdate) AS VARCHAR) AS year,
          l_returnflag <> 'R' AS is_journal,
@@ -202,6 +201,10 @@ SELECT doc_id, ref_index, CASE WHEN ref_index % 4 = 3 THEN 'first discovery' ELS
     "context_lag_lead": """
 SELECT conv_id, turn, text, lag(text, 1, '') OVER w AS prev_sentence, lead(text, 1, '') OVER w AS next_sentence
 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
+    "context_with_gaps": """
+WITH t AS (SELECT conv_id, turn - turn % 4 + CASE WHEN turn % 4 = 3 THEN 2 ELSE 0 END AS turn, text FROM conversations WHERE turn <> 1)
+SELECT conv_id, turn, text, lag(text, 1, '') OVER w AS prev_sentence, lead(text, 1, '') OVER w AS next_sentence
+FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, text)""",
     "doc_dedup_first": f"""
 SELECT min(doc_id) AS doc_id, count(*) AS n_copies FROM documents GROUP BY {_SQUEEZE.format('text')}""",
     "marker_hits_greedy": _S + f"""
@@ -349,11 +352,11 @@ SELECT doc_id, ref_index, CAST(strpos(text, needle) - 1 AS INTEGER) AS start, CA
 FROM n WHERE needle IS NOT NULL AND strpos(text, needle) > 0""",
     "register_rows": _with(_REF_SRC, _META) + """
 SELECT doc_id, CAST(ref_index AS BIGINT) AS no,
-  names || '. ' || title || '[J]. ' || journal || ', ' || pyear || CASE WHEN vi <> '' THEN ', ' || vi ELSE '' END || ': 1-34.' AS reviewing_citation,
-  c_name AS reviewing_first_author, 'Ann Other' AS reviewing_other_authors, title AS reviewing_title,
-  journal || ', ' || pyear || CASE WHEN vi <> '' THEN ', ' || vi ELSE '' END || ': 1-34.' AS reviewing_journal_line,
-  journal AS reviewing_journal, pyear AS reviewing_year, vi || ': 1-34' AS reviewing_pages_line,
-  'Some Institute' AS reviewing_institution, '中国' AS reviewing_country, 'Sentence about Title ' || tag AS sentence, 'first' AS marker,
+  coalesce(names || '. ' || title || '[J]. ' || journal || ', ' || pyear || CASE WHEN vi <> '' THEN ', ' || vi ELSE '' END || ': 1-34.', '') AS reviewing_citation,
+  coalesce(c_name, '') AS reviewing_first_author, CASE WHEN c_name IS NULL THEN '' ELSE 'Ann Other' END AS reviewing_other_authors, coalesce(title, '') AS reviewing_title,
+  coalesce(journal || ', ' || pyear || CASE WHEN vi <> '' THEN ', ' || vi ELSE '' END || ': 1-34.', '') AS reviewing_journal_line,
+  coalesce(journal, '') AS reviewing_journal, coalesce(pyear, '') AS reviewing_year, coalesce(vi || ': 1-34', '') AS reviewing_pages_line,
+  CASE WHEN c_name IS NULL THEN '' ELSE 'Some Institute' END AS reviewing_institution, CASE WHEN c_name IS NULL THEN '' ELSE '中国' END AS reviewing_country, 'Sentence about Title ' || tag AS sentence, 'first' AS marker,
   surname || ' A, Coauth B. Title ' || tag || '[J].' || CASE WHEN is_journal THEN ' Journal J,' ELSE '' END || ' ' || year || ', ' || volume ||
     '(' || issue || '): 10-20.' AS evaluated_citation,
   surname || ' A' AS evaluated_first_author, 'Coauth B' AS evaluated_other_authors, 'Title ' || tag AS evaluated_title,
@@ -361,9 +364,13 @@ SELECT doc_id, CAST(ref_index AS BIGINT) AS no,
   CASE WHEN is_journal THEN 'Journal J' ELSE '' END AS evaluated_journal, year AS evaluated_year,
   volume || '(' || issue || '): 10-20.' AS evaluated_pages_line, CASE WHEN is_journal THEN 'Inst' ELSE '' END AS evaluated_institution,
   CASE WHEN is_journal THEN 'Japan' ELSE '' END AS evaluated_country, '' AS other_evaluated, 'P' AS provider, '' AS remark
-FROM r JOIN lined USING (doc_id)""",
+FROM r LEFT JOIN (SELECT * FROM lined WHERE doc_id % 13 <> 0) USING (doc_id)""",
     "register_global_no": _R + """
 SELECT doc_id, ref_index AS cand_id, row_number() OVER (ORDER BY doc_id, ref_index) AS no FROM r""",
+    "register_hashed_no": _with(_REF_SRC, _META) + """
+SELECT r.doc_id * 3000000037 - 4000000000000000000 AS doc_id, row_number() OVER (ORDER BY r.doc_id, ref_index) AS no, coalesce(title, '') AS reviewing_title,
+  'Sentence about Title ' || tag AS sentence, surname || ' A' AS evaluated_first_author, r.year AS evaluated_year,
+  volume || '(' || issue || '): 10-20.' AS evaluated_pages_line FROM r LEFT JOIN lined USING (doc_id)""",
     "form_rows": _with(_REF_SRC, _META) + """
 , f AS (
   SELECT doc_id, ref_index AS cand_id, [names, journal || ', ' || pyear || ', ' || vi || ': 1-34.', '', 'Some Institute', '', title, '/', '/',
@@ -432,10 +439,9 @@ SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, co
     "progress_stream": """
 SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n_completed,
   count(*) FILTER (event_type = 'purchase') AS n_success, count(*) FILTER (event_type = 'view') AS n_no_result,
-  count(*) FILTER (event_type = 'error') AS n_failed FROM events
-WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) GROUP BY 1""",
+  count(*) FILTER (event_type = 'error') AS n_failed FROM events GROUP BY 1""",
     "evidence_counts": _S + """
-SELECT doc_id, count(*) AS n_records, count(*) AS n_located, count(*) FILTER (t <> 4) AS n_references FROM s GROUP BY 1""",
+SELECT doc_id, count(*) AS n_records, count(*) FILTER (doc_id % 11 <> 0) AS n_located, count(*) FILTER (t <> 4) AS n_references FROM s GROUP BY 1""",
 }
 
 

@@ -22,7 +22,7 @@ from acclaim.plans.mining import Mined, mine
 from acclaim.session import write_stage
 from acclaim.sources.gazetteer import Gazetteer
 from acclaim.sources.works import flat_works
-from acclaim.streaming.progress import progress_windows as windows_of_progress
+from acclaim.streaming.progress import latest_progress, progress_windows as windows_of_progress, run_progress
 from acclaim.testing import render
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -132,6 +132,15 @@ def context_lag_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.with_neighbours(turns, ["conv_id"], "turn")
 
 
+@query
+def context_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns with gaps and repeats, and stretches that end inside a conversation."""
+    turns = _table(spark, sf_dir, "conversations").filter(F.col("turn") != 1).select(
+        "conv_id", (F.col("turn") - F.col("turn") % 4 + F.when(F.col("turn") % 4 == 3, 2).otherwise(0)).alias("turn"), "text"
+    )
+    return sentences.with_neighbours(turns, ["conv_id"], "turn", stretch=3)
+
+
 @query
 def doc_dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
@@ -594,7 +603,9 @@ def evidence_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def evidence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every eleventh paper has no text; its records are counted but not located."""
     papers = render.papers(spark, sf_dir, noise=False).select("doc_id", T.body_text(F.col("full_text")).alias("full_text"))
+    papers = papers.filter(F.col("doc_id") % 11 != 0)
     recs = write_stage(_marked_records(spark, sf_dir), "records")
     cited = evidence.cited_references(recs, _refs(spark, sf_dir))
     return evidence.evidence_counts(evidence.locate_records(recs, papers), cited)
@@ -648,15 +659,26 @@ def _final_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def register_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return register.register(
-        register.number_within_paper(_final_records(spark, sf_dir)), _paper_meta(spark, sf_dir), provider="P"
-    )
+    """Every thirteenth paper has no metadata row; its records stay."""
+    papers = _paper_meta(spark, sf_dir).filter(F.col("doc_id") % 13 != 0)
+    return register.register(register.number_within_paper(_final_records(spark, sf_dir)), papers, provider="P")
 
 
 @query
 def register_global_no(spark: SparkSession, sf_dir: str) -> DataFrame:
     recs = _final_records(spark, sf_dir).select("doc_id", "cand_id")
-    return register.number_globally(recs, block=512)
+    return register.number_globally(recs)
+
+
+@query
+def register_hashed_no(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The merged register over all papers, with ids as wide as a hash makes them."""
+    wide = F.col("doc_id") * 3_000_000_037 - 4_000_000_000_000_000_000
+    numbered = register.number_globally(_final_records(spark, sf_dir).withColumn("doc_id", wide))
+    papers = _paper_meta(spark, sf_dir).withColumn("doc_id", wide)
+    return register.register(numbered, papers, provider="P").select(
+        "doc_id", "no", "reviewing_title", "sentence", "evaluated_first_author", "evaluated_year", "evaluated_pages_line"
+    )
 
 
 @query
@@ -813,7 +835,7 @@ def progress_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def progress_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same counts from a stream; only windows the watermark has closed are final."""
+    """The same counts from a stream; each batch merges the windows it has changed."""
     from acclaim.session import scratch_folder
     import uuid
 
@@ -821,14 +843,8 @@ def progress_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     out = f"{scratch_folder(spark)}/acclaim/progress-{uuid.uuid4().hex}"
     counted = windows_of_progress(_progress_events(stream), watermark="0 seconds")
-    run = (
-        counted.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{out}-state")
-        .trigger(availableNow=True).start(out)
-    )
-    run.awaitTermination()
-    return spark.read.schema(counted.schema).parquet(out).withColumn(
-        "window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss")
-    )
+    run_progress(counted, out, f"{out}-state").awaitTermination()
+    return latest_progress(spark, out).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query
@@ -838,9 +854,12 @@ def incremental_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
     root = f"{scratch_folder(spark)}/acclaim/incremental-{uuid.uuid4().hex}"
-    render.papers(spark, sf_dir).write.parquet(f"{root}/in")
-    run_incremental(spark, f"{root}/in", f"{root}/out", f"{root}/state").awaitTermination()
-    return spark.read.parquet(f"{root}/out").select(
+    papers = render.papers(spark, sf_dir)
+    # two deliveries; the second repeats a part of the first
+    for part in (F.col("doc_id") % 3 != 0, F.col("doc_id") % 6 < 4):
+        papers.filter(part).write.mode("append").parquet(f"{root}/in")
+        run_incremental(spark, f"{root}/in", f"{root}/out", f"{root}/state").awaitTermination()
+    return spark.read.parquet(f"{root}/out/candidates").select(
         "doc_id", "cand_id", "sent_idx", "text", "marker", "author_name", "year", "ref_index"
     )
 
