@@ -52,12 +52,10 @@ class Lexicon:
         return Lexicon(tuple(default_phrases()))
 
     @staticmethod
-    def of(table: DataFrame) -> Lexicon:
-        """Read a phrase table; refuses tables too large for the in-row strategy."""
+    def of(table: DataFrame) -> Lexicon | None:
+        """Read a phrase table; None if it is too large for the in-row strategy and must be joined."""
         rows = table.select("phrase", "lang", "rank", "is_bare").limit(MAX_INLINE_PHRASES + 1).collect()
-        if len(rows) > MAX_INLINE_PHRASES:
-            raise ValueError(f"more than {MAX_INLINE_PHRASES} phrases: use marker_hits_by_join")
-        return Lexicon(tuple(tuple(r) for r in rows))
+        return Lexicon(tuple(tuple(r) for r in rows)) if len(rows) <= MAX_INLINE_PHRASES else None
 
     @cache
     def gate(self) -> str:
@@ -283,8 +281,12 @@ def marker_hits_by_join(
     # Every word carries the few words a phrase can need.  They come from the neighbouring pieces of
     # the split text: a substring of the sentence would be counted from its start for every word.
     word = r"[\p{L}\p{N}_]+"
-    most_words = lexicon.agg(F.max(F.regexp_count("phrase", F.lit(word)))).first()[0] or 1
-    longest = lexicon.agg(F.max(F.length("phrase"))).first()[0] or 1
+    by_sign = _by_sign(F.col("lang"), F.col("phrase"))
+    sizes = lexicon.agg(
+        F.max(F.regexp_count("phrase", F.lit(word))), F.max(F.length("phrase")),
+        F.array_sort(F.collect_set(F.when(by_sign, F.substring("phrase", 1, 1)))),  # at most the characters there are
+    ).first()
+    most_words, longest, signs = sizes[0] or 1, sizes[1] or 1, sizes[2]
     safe = with_once(sentences.select(*key, F.col(text)), "_safe", fence_safe(F.col(text))).select(*key, "_safe")
     pieces = with_once(safe, "_p", F.split(F.regexp_replace("_safe", word, "\u0001$0"), "\u0001"))
     placed = F.arrays_zip(F.col("_p").alias("p"), running_starts(F.transform("_p", lambda p: F.length(p))).alias("s"))
@@ -305,7 +307,7 @@ def marker_hits_by_join(
             F.substring("_safe", i + 1, F.lit(longest)).alias("w"),
         ),
     )
-    phrases = lexicon.select(
+    phrases = lexicon.filter(~by_sign).select(
         "lang", "rank", "is_bare",
         F.when(F.col("lang") == "en", ascii_lower(F.col("phrase"))).otherwise(F.col("phrase")).alias("phrase"),
     ).withColumn(
@@ -324,6 +326,10 @@ def marker_hits_by_join(
         .filter(F.when(F.col("lang") == "en", ascii_lower(found)).otherwise(found) == F.col("phrase"))
         .filter((F.col("lang") == "zh") | ~F.substring("w", width + 1, F.lit(1)).rlike(r"^[\p{L}\p{N}_]"))
     )
+    hits = hits.select(*key, "rank", "start", "is_bare", width.alias("width"), found.alias("found"))
+    if signs:
+        hits = hits.unionByName(_hits_by_sign(safe, lexicon.filter(by_sign), key, signs, longest))
+    width, found = F.col("width"), F.col("found")
     occurrence = F.struct(
         "rank", "start", (F.col("start") + width).cast("int").alias("end"), F.col("is_bare").alias("is_bare_word"),
         found.alias("marker"),
@@ -355,6 +361,31 @@ def marker_hits_by_join(
     return with_once(sentences.join(grouped, list(key)), "markers", let(by_start(F.col("_occ")), select)).drop("_occ")
 
 
+def _by_sign(lang: Column, phrase: Column) -> Column:
+    """Phrases without a first word or a first pair of characters to be joined by."""
+    return F.when(lang == "en", phrase.rlike(r"^[^\p{L}\p{N}_]")).otherwise(F.length(phrase) < 2)
+
+
+def _hits_by_sign(safe: DataFrame, phrases: DataFrame, key: Sequence[str], signs: list[str], longest: int) -> DataFrame:
+    """Occurrences of the phrases that are looked up by their first character alone."""
+    places = F.filter(
+        F.sequence(F.lit(1), F.greatest(F.length("_safe"), F.lit(1))), lambda i: F.substring("_safe", i, F.lit(1)).isin(signs)
+    )
+    spots = safe.select(*key, "_safe", F.explode(places).alias("_i")).select(
+        *key, F.substring("_safe", F.col("_i"), F.lit(1)).alias("head"), (F.col("_i") - 1).cast("int").alias("start"),
+        F.when(F.col("_i") > 1, F.substring("_safe", F.col("_i") - 1, F.lit(1))).otherwise("").alias("before"),
+        F.substring("_safe", F.col("_i"), F.lit(longest + 1)).alias("w"),
+    )
+    listed = phrases.select("lang", "rank", "is_bare", "phrase", F.substring("phrase", 1, 1).alias("head"))
+    width = F.length("phrase")
+    found = F.substring("w", F.lit(1), width)
+    in_word = r"^[\p{L}\p{N}_]"
+    english = (F.lower(found) == F.lower("phrase")) & ~F.col("before").rlike(in_word) & ~F.substring("w", width + 1, F.lit(1)).rlike(in_word)
+    return spots.join(listed, "head").filter(F.when(F.col("lang") == "en", english).otherwise(found == F.col("phrase"))).select(
+        *key, "rank", "start", "is_bare", width.alias("width"), found.alias("found")
+    )
+
+
 def best_marker(markers: Column) -> Column:
     """Non-bare first, then longest, then earliest."""
     best = F.array_max(

@@ -6,6 +6,8 @@ the library is reused.
 
 from __future__ import annotations
 
+from acclaim.sources.lexicon import default_phrases
+
 _DIGITS = "'0123456789','abcdefghij'"
 
 _REF_SRC = f"""
@@ -205,6 +207,12 @@ FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
 WITH t AS (SELECT conv_id, turn - turn % 4 + CASE WHEN turn % 4 = 3 THEN 2 ELSE 0 END AS turn, text FROM conversations WHERE turn <> 1)
 SELECT conv_id, turn, text, lag(text, 1, '') OVER w AS prev_sentence, lead(text, 1, '') OVER w AS next_sentence
 FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, text)""",
+    "lexicon_every_phrase": _R + f"""
+, p AS (SELECT [{", ".join("'" + p + "'" for p, *_ in default_phrases())}] AS list),
+b AS (SELECT [{", ".join("'" + p + "'" for p, _, _, bare in default_phrases() if bare)}] AS bare)
+SELECT doc_id, ref_index, phrase AS marker, CAST(length(tag) + 1 AS INTEGER) AS start, CAST(length(tag) + 1 + length(phrase) AS INTEGER) AS "end",
+  list_contains(bare, phrase) AS is_bare_word
+FROM (SELECT *, list_extract(list, CAST((l_partkey * 7 + ref_index) % len(list) + 1 AS INTEGER)) AS phrase FROM r, p), b""",
     "doc_dedup_first": f"""
 SELECT min(doc_id) AS doc_id, count(*) AS n_copies FROM documents GROUP BY {_SQUEEZE.format('text')}""",
     "marker_hits_greedy": _S + f"""
@@ -320,7 +328,7 @@ SELECT doc_id, ref_index AS cand_id, p_name || ' ' || wtag AS title, 'Lead, Ann;
 offered AS (SELECT p_partkey, doi, list_distinct(string_split(p_name || ' ' || wtag, ' ')) AS b FROM w),
 pairs AS (
   SELECT l_partkey, lower(doi) AS doi, len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) AS sim
-  FROM asked JOIN offered ON l_partkey % 10 = p_partkey % 10
+  FROM asked JOIN offered ON l_partkey % 50 = 7 OR l_partkey % 10 = p_partkey % 10
 ),
 best AS (SELECT l_partkey, doi, sim FROM pairs WHERE sim >= 0.3 QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY sim DESC, doi) = 1)
 SELECT doc_id, ref_index AS cand_id, best.doi, round(sim, 6) AS similarity FROM recs JOIN best USING (l_partkey)""",

@@ -21,6 +21,7 @@ from acclaim.operators.years import add_year_mentions, nearest_year
 from acclaim.plans.mining import Mined, mine
 from acclaim.session import write_stage
 from acclaim.sources.gazetteer import Gazetteer
+from acclaim.sources.lexicon import default_phrases
 from acclaim.sources.works import flat_works
 from acclaim.streaming.progress import latest_progress, progress_windows as windows_of_progress, run_progress
 from acclaim.testing import render
@@ -161,6 +162,17 @@ def marker_hits_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markers.explode_hits(markers.add_marker_hits(both))
 
 
+@query
+def lexicon_every_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sentence around every phrase of the default lexicon, in turn."""
+    phrases = [p for p, *_ in default_phrases()]
+    place = ((F.col("l_partkey") * 7 + F.col("ref_index")) % len(phrases) + 1).cast("int")
+    rows = render.reference_rows(spark, sf_dir).select(
+        "doc_id", "ref_index", F.concat("tag", F.lit(" "), F.element_at(F.lit(phrases), place), F.lit(" "), "surname").alias("text")
+    )
+    return markers.add_marker_hits(rows).select("doc_id", "ref_index", F.inline("markers"))
+
+
 @query
 def lexicon_counts_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![\p{L}\p{N}_])[a-z]{6,}(?![\p{L}\p{N}_])"), F.lit(0))
@@ -489,7 +501,7 @@ def _records_to_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.col("ref_index").alias("cand_id"), "l_partkey",
         F.when(F.col("ref_index") % 2 == 0, F.concat(F.lit("10.1000/p"), F.col("l_partkey"))).alias("doi"),
         F.concat(F.lit("Study: "), "p_name", F.lit(", "), "tag").alias("title"),
-        (F.lit(1990) + F.col("l_partkey") % 10).cast("string").alias("year"),
+        F.when(F.col("l_partkey") % 50 != 7, (F.lit(1990) + F.col("l_partkey") % 10).cast("string")).alias("year"),
         F.array("tag").alias("authors"), F.col("tag").alias("first_author"), nothing.alias("other_authors"),
         F.lit("J").alias("journal"), nothing.alias("volume"), F.when(F.col("line_no") > 3, F.lit("5")).alias("issue"),
         nothing.alias("pages"), nothing.alias("institution"), nothing.alias("country"),
