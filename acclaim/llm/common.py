@@ -16,6 +16,8 @@ from acclaim.session import write_stage
 
 #: a column name that tables are not expected to have
 KEY = "_acclaim_row_key"
+_SLOT, _HIT = "_acclaim_slot", "_acclaim_hit"
+KEY_SLOTS = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +54,18 @@ def row_key(df: DataFrame) -> DataFrame:
     return df.withColumn(KEY, F.xxhash64(F.lit(7), "doc_id", "text"))
 
 
+def parted(keyed: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose ``KEY`` is certainly not among ``keys`` (stored), and the rest.
+
+    The first part, mostly nearly all, then needs no join and its texts do not move.  What is broadcast are
+    the occupied ones of ``KEY_SLOTS`` slots, so its size is bounded whatever the tables hold.
+    """
+    slot = F.pmod(F.col(KEY), F.lit(KEY_SLOTS)).cast("int").alias(_SLOT)
+    occupied = keys.select(slot).distinct().withColumn(_HIT, F.lit(True))
+    marked = keyed.withColumn(_SLOT, slot).join(F.broadcast(occupied), _SLOT, "left")
+    return marked.filter(F.col(_HIT).isNull()).drop(_SLOT, _HIT), marked.filter(_HIT).drop(_SLOT, _HIT)
+
+
 def by_size(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of neighbouring texts with at most ``most`` characters together, or one longer text."""
     low = size = 0

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acclaim.llm.common import KEY, by_size, mixed, prepare, row_key, span_hashes, stage
+from acclaim.llm.common import KEY, by_size, mixed, parted, prepare, row_key, span_hashes, stage
 
 WINDOW = 13
 GRAM = 5
@@ -211,5 +211,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
     keyed = row_key(docs)
-    bad = contamination(keyed, benchmark, keep=(KEY,), **options).filter("contaminated").select(KEY).distinct()
-    return keyed.join(bad, KEY, "left_anti").drop(KEY)
+    bad = stage(contamination(keyed, benchmark, keep=(KEY,), **options).filter("contaminated").select(KEY).distinct(), "contaminated")
+    clean, others = parted(keyed, bad)
+    return clean.unionByName(others.join(bad, KEY, "left_anti")).select(*docs.columns)

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acclaim.llm.common import KEY, prepare, row_key, stage
+from acclaim.llm.common import KEY, parted, prepare, row_key, stage
 
 RADIUS = 4
 SHINGLE = 4
@@ -235,5 +235,9 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE) -> Dat
     keyed = row_key(docs)
     found = near_duplicates(keyed, radius, ("doc_id", KEY), words)
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(KEY))
-    kept = found.groupBy("label").agg(F.min_by(KEY, order).alias(KEY)).select(KEY)
-    return keyed.join(kept, KEY, "left_semi").dropDuplicates([KEY]).drop(KEY)
+    per_key = stage(found.groupBy(KEY).agg(F.count("*").alias("n"), F.min("label").alias("label"), F.min("doc_id").alias("doc_id")), "class-keys")
+    kept = per_key.groupBy("label").agg(F.min_by(KEY, order).alias(KEY)).select(KEY)
+    # only rows that go, or that stand several times, have to be looked at
+    gone = per_key.join(kept, KEY, "left_anti").select(KEY).union(per_key.filter("n > 1").select(KEY))
+    alone, others = parted(keyed, stage(gone.distinct(), "class-copies"))
+    return alone.unionByName(others.join(kept, KEY, "left_semi").dropDuplicates([KEY])).select(*docs.columns)
