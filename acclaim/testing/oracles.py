@@ -417,6 +417,19 @@ SELECT doc_id, ref_index,
   CASE WHEN line_no % 2 = 0
     THEN list_extract([surname || ' O', 'van der ' || surname || ' J', surname || ' JR', surname || ' AM'], CAST(ref_index % 4 + 1 AS INTEGER))
     ELSE list_extract([surname || ' O', surname || ' JVD', surname || ' JR', surname || ' AM'], CAST(ref_index % 4 + 1 AS INTEGER)) END AS abbreviated FROM r""",
+    "reference_parse_chinese": _R + """
+SELECT doc_id, ref_index, '张三; 李四' AS authors, '标题' || tag AS title, CASE WHEN is_journal THEN '某某学报' END AS journal, year, volume, issue,
+  '10-20' AS pages, CASE WHEN is_journal THEN 'J' ELSE 'D' END AS ref_type, '10.1000/' || tag AS doi FROM r""",
+    "metadata_chinese": """
+SELECT o_orderkey AS doc_id, '研究' || translate(CAST(o_orderkey AS VARCHAR), '0123456789', '零一二三四五六七八九') || '的方法' AS title_cn,
+  '张' || translate(CAST(o_custkey % 100 AS VARCHAR), '0123456789', '零一二三四五六七八九') || '; 李四' AS authors, '安全学报' AS journal_cn,
+  CAST(year(o_orderdate) AS VARCHAR) AS year, CAST(o_custkey % 60 + 1 AS VARCHAR) AS volume, '2' AS issue,
+  (o_orderkey % 900 + 100) || '-' || (o_orderkey % 900 + 107) AS pages, '某某大学' AS institution_cn, '中国' AS country, '10.1234/ab.' || o_orderkey AS doi FROM orders""",
+    "metadata_english": """
+SELECT o_orderkey AS doc_id, list_extract(['Journal of Salt', 'Cell Reports', 'Current Biology', 'iScience', 'Heliyon'], CAST(o_orderkey % 5 + 1 AS INTEGER)) AS journal_en,
+  CAST(year(o_orderdate) AS VARCHAR) AS year, CAST(o_custkey % 60 + 1 AS VARCHAR) AS volume, CASE WHEN o_orderkey % 5 = 0 THEN '3' END AS issue,
+  list_extract(['10-34', '10-34', 'R10-R34', '104642', 'e06955'], CAST(o_orderkey % 5 + 1 AS INTEGER)) AS pages,
+  'Department of ' || o_orderpriority || ', Some University, Tokyo, Japan' AS institution_en, '日本' AS country, '10.1000/xyz.' || o_orderkey AS doi FROM orders""",
     "html_title_meta": r"""
 SELECT page_id, nullif(trim(regexp_replace(replace(replace(replace(replace(replace(replace(
   regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '(?s)<[^>]*>', '', 'g'),

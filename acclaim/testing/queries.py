@@ -285,6 +285,16 @@ def reference_parse_authoryear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parsed(spark, sf_dir, "author_year")
 
 
+@query
+def reference_parse_chinese(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chinese entries, each with an identifier at its end."""
+    parsed = references.parse_references(render.papers(spark, sf_dir, style="chinese"))
+    return parsed.select(
+        "doc_id", "ref_index", F.array_join("authors", "; ").alias("authors"), "title", "journal", "year", "volume", "issue", "pages",
+        "ref_type", "doi",
+    )
+
+
 @query
 def reference_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references.reference_counts(references.parse_references(render.papers(spark, sf_dir)))
@@ -753,6 +763,51 @@ def name_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# --- paper metadata -----------------------------------------------------------------
+
+
+def _han(number: Column) -> Column:
+    return F.translate(number.cast("string"), "0123456789", "零一二三四五六七八九")
+
+
+@query
+def metadata_chinese(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First pages of Chinese papers, one per order."""
+    o = _table(spark, sf_dir, "orders")
+    year, volume, start = F.year("o_orderdate"), F.col("o_custkey") % 60 + 1, F.col("o_orderkey") % 900 + 100
+    first = F.concat(
+        F.lit("文章编号：1009-6094("), year, F.lit(")02-"), F.lpad(start.cast("string"), 4, "0"), F.lit("-08\n研究"), _han(F.col("o_orderkey")),
+        F.lit("的\n方法*\n张"), _han(F.col("o_custkey") % 100), F.lit("1，李四2\n（1 某某大学，南京210000）\n安全学报\n第 "), volume,
+        F.lit(" 卷第 2 期\n"), year, F.lit("年4月\nDOI：10.1234/ab."), F.col("o_orderkey"), F.lit("\n"),
+    )
+    texts = o.select(F.col("o_orderkey").alias("doc_id"), first.alias("full_text"), first.alias("first_page"), F.lit("").alias("last_page"))
+    return paper_meta.chinese_metadata(texts).select(
+        "doc_id", "title_cn", F.array_join("authors_cn", "; ").alias("authors"), "journal_cn", "year", "volume", "issue", "pages",
+        "institution_cn", "country", "doi",
+    )
+
+
+@query
+def metadata_english(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running heads of five layouts, on the first page or on the later ones, one paper per order."""
+    o = _table(spark, sf_dir, "orders")
+    y, v = F.year("o_orderdate").cast("string"), (F.col("o_custkey") % 60 + 1).cast("string")
+    heads = [
+        F.concat(F.lit("Journal of Salt ("), y, F.lit(") "), v, F.lit("(3):10–34")), F.concat(F.lit("Smith et al., "), y, F.lit(", Cell Reports "), v, F.lit(", 10-34")),
+        F.concat(F.lit("Current Biology "), v, F.lit(", R10–R34, October 11, "), y), F.concat(F.lit("He & Lamont, iScience "), v, F.lit(", 104642\nJanuary 21, "), y),
+        F.concat(F.lit("Heliyon "), v, F.lit(" ("), y, F.lit(") e06955")),
+    ]
+    head = F.element_at(F.array(*heads), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    on_first = F.col("o_custkey") % 2 == 0
+    body = F.concat(F.lit("A title\nAnn Lee\nDepartment of "), F.col("o_orderpriority"), F.lit(", Some University, Tokyo, Japan\nhttps://doi.org/10.1000/xyz."), F.col("o_orderkey"))
+    pages = o.select(F.col("o_orderkey").alias("doc_id"), F.posexplode(F.array(
+        F.when(on_first, F.concat(head, F.lit("\n"), body)).otherwise(body), F.when(on_first, "second page\nmore\nand more").otherwise(F.concat(head, F.lit("\nsecond page\nmore"))),
+    )).alias("page_num", "text"))
+    first = pages.filter("page_num = 0").select("doc_id", F.col("text").alias("full_text"), F.col("text").alias("first_page"))
+    texts = first.join(paper_meta.page_heads(pages), "doc_id")
+    return paper_meta.english_metadata(texts).select("doc_id", "journal_en", "year", "volume", "issue", "pages", "institution_en", "country", "doi")
+
+
 # --- pages ------------------------------------------------------------------------
 
 

@@ -96,6 +96,14 @@ def dot_entry() -> Column:
     )
 
 
+def chinese_entry() -> Column:
+    """``[3] 张三，李四，等．标题x[J]．某某学报，1999，12（3）：10-20．DOI：10.1000/x``"""
+    return F.concat(
+        F.lit("["), F.col("ref_index"), F.lit("] 张三，李四，等．标题"), F.col("tag"), F.when(F.col("is_journal"), "[J]").otherwise("[D]"),
+        F.lit("．某某学报，"), F.col("year"), F.lit("，"), F.col("volume"), F.lit("（"), F.col("issue"), F.lit("）：10-20．DOI：10.1000/"), F.col("tag"),
+    )
+
+
 def author_year_entry() -> Column:
     """``Saahj, A., 1999. Title x. Journal J 12 (3), 10-20.``"""
     title = F.when(F.col("is_journal"), "Title ").otherwise("Conference title ")
@@ -133,13 +141,14 @@ def structured_references(rows: DataFrame) -> DataFrame:
 def papers(spark: SparkSession, sf_dir: str, style: str = "mixed", noise: bool = True) -> DataFrame:
     """Papers: body with page furniture between sentences, then a reference section.
 
-    ``style``: bracket, dot, author_year, or mixed (bracket for even doc_id, dot for odd).
+    ``style``: bracket, dot, author_year, chinese, or mixed (bracket for even doc_id, dot for odd).
     Every fifth paper is written by the author of its first reference.
     """
     entry = {
         "bracket": bracket_entry(),
         "dot": dot_entry(),
         "author_year": author_year_entry(),
+        "chinese": chinese_entry(),
         "mixed": F.when(F.col("doc_id") % 2 == 0, bracket_entry()).otherwise(dot_entry()),
     }[style]
     furniture = (
