@@ -16,6 +16,7 @@ from acclaim import fixed, schemas
 from acclaim.functions import citations as C
 from acclaim.functions import names as N
 from acclaim.functions import text as T
+from acclaim.functions.once import with_once
 from acclaim.operators.enrich import country_of
 from acclaim.sources.gazetteer import Gazetteer
 
@@ -214,7 +215,9 @@ def english_metadata(texts: DataFrame, gazetteer: Gazetteer | None = None) -> Da
     line = english_journal_line(heads)
     title = F.col("title") if "title" in texts.columns else F.lit(None).cast("string")
     authors = F.col("authors") if "authors" in texts.columns else F.lit(None).cast("array<string>")
-    institution = institution_ladder(first)
+    # the country is looked for many times in it, so it is evaluated before
+    texts = with_once(texts, "_institution", institution_ladder(first))
+    institution = F.col("_institution")
     return _emit(texts, {
         "title_en": title, "authors_en": authors, "first_author_en": F.try_element_at(authors, F.lit(1)),
         "journal_en": line["journal"], "year": line["year"], "volume": line["volume"], "issue": line["issue"],
