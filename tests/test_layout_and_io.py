@@ -116,4 +116,23 @@ def test_incremental_run_appends_once(spark, tmp_path):
     run_incremental(spark, source, out, state).awaitTermination()
     paper.coalesce(1).write.mode("append").parquet(source)  # the same paper again
     run_incremental(spark, source, out, state).awaitTermination()
-    assert spark.read.parquet(out).count() == 1
+    assert spark.read.parquet(out + "/candidates").count() == 1
+
+
+def test_incremental_run_takes_late_files(spark, tmp_path):
+    """A file that is older than one already processed is not dropped."""
+    import os
+
+    text = "Smith et al. (2010) first reported it [1].\nReferences\n[1] Smith A. Some title [J]. J, 2010, 1(2): 3-4."
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    for doc_id, age in ((1, 0), (2, 5 * 86_400)):
+        part = str(tmp_path / f"part{doc_id}")
+        spark.createDataFrame([(doc_id, text, "Ann Other")], schemas.PAPER_TEXT + ", authors_str string").coalesce(1).write.parquet(part)
+        os.makedirs(source, exist_ok=True)
+        for name in os.listdir(part):
+            if name.endswith(".parquet"):
+                os.rename(f"{part}/{name}", f"{source}/{name}")
+                before = os.stat(f"{source}/{name}").st_mtime - age
+                os.utime(f"{source}/{name}", (before, before))
+        run_incremental(spark, source, out, state).awaitTermination()
+    assert sorted(r.doc_id for r in spark.read.parquet(out + "/candidates").collect()) == [1, 2]

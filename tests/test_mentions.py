@@ -7,7 +7,7 @@ from acclaim.operators import markers as M
 from acclaim.operators.authors import add_author_mentions
 from acclaim.operators.sentences import split_sentences
 from acclaim.operators.years import add_year_mentions
-from acclaim.sources.lexicon import default_lexicon, read_lexicon
+from acclaim.sources.lexicon import default_lexicon, default_phrases, read_lexicon
 
 
 def rows(spark, *texts):
@@ -124,3 +124,61 @@ AUTHOR_CASES = {
 def test_authors(spark, repeat):
     got = by_doc(add_author_mentions(rows(spark, *AUTHOR_CASES)), "authors")
     assert [[(a.name, a.in_bracket, a.with_et_al, a.ref_numbers) for a in found] for found in got] == list(AUTHOR_CASES.values())
+
+
+def test_default_lexicon_is_the_list_in_list_order():
+    rows = default_phrases()
+    english, chinese = [r for r in rows if r[1] == "en"], [r for r in rows if r[1] == "zh"]
+    assert (len(english), len(chinese)) == (613, 125)
+    assert [r[2] for r in rows] == list(range(1, 739))
+    assert sum(r[3] for r in rows) == 16 and not any(r[3] for r in chinese)
+    phrases = [r[0] for r in rows]
+    assert {"first been reported", "earliest recorded data", "first total synthesis", "landmark science paper"} <= set(phrases)
+    assert "original basis" not in phrases and "first" in phrases and phrases[-1] == "最先"
+    assert phrases.index("reported") > phrases.index("first reported")
+
+
+def test_has_first_been_reported_is_one_hit(spark):
+    table = rows(spark, "It has first been reported.")
+    assert [m.marker for m in M.add_marker_hits(table).first().markers] == ["first been reported"]
+
+
+def test_both_strategies_agree_on_random_lexicons(spark):
+    """One-character phrases, phrases that start with a sign, overlapping ranks."""
+    import random
+
+    pick = random.Random(11)
+    parts = ["ab", "b", "-based", "c", "first", "首", "首次", "次发", "现", ".net", " ", "a-b", "，"]
+    texts = ["".join(pick.choice(parts + [" ", " "]) for _ in range(pick.randrange(1, 12))) for _ in range(60)]
+    for _ in range(3):
+        chosen = pick.sample(["ab", "b", "-based", "c first", "first", "首", "首次", "次发现", "现", ".net", "a-b", "b c", "ab b"], 7)
+        table = spark.createDataFrame(
+            [(p, "zh" if "\u4e00" <= p[0] <= "\u9fff" else "en", i + 1, i % 3 == 0) for i, p in enumerate(chosen)], "phrase string, lang string, rank int, is_bare boolean"
+        )
+        sentences = rows(spark, *texts)
+        want = {r.text: r.markers for r in M.add_marker_hits(sentences, M.Lexicon.of(table)).collect() if r.markers}
+        got = {r.text: r.markers for r in M.marker_hits_by_join(sentences, table).collect() if r.markers}
+        assert got == want
+
+
+def test_a_large_lexicon_is_joined(spark, monkeypatch):
+    from acclaim.plans.mining import mine
+
+    text = "Smith et al. (2010) first reported it [1]. Nothing here.\nReferences\n[1] Smith A. Some title [J]. J, 2010, 1(2): 3-4."
+    papers = spark.createDataFrame([(1, text)], "doc_id bigint, full_text string")
+    small = mine(papers, default_lexicon(spark)).candidates().collect()
+    monkeypatch.setattr(M, "MAX_INLINE_PHRASES", 10)
+    assert M.Lexicon.of(default_lexicon(spark)) is None
+    large = mine(papers, default_lexicon(spark)).candidates().collect()
+    assert len(small) == 1 and [r.asDict() for r in small] == [r.asDict() for r in large]
+
+
+def test_neighbours_with_gaps_and_repeats(spark):
+    from acclaim.operators.sentences import with_neighbours
+
+    turns = spark.createDataFrame([(1, 0, "a"), (1, 2, "b"), (1, 2, "c"), (1, 3, "d"), (1, 9, None), (2, 5, "x"), (None, 1, "n")], "k bigint, turn bigint, text string")
+    for stretch in (1, 2, 4096):
+        got = [(r.k, r.turn, r.text, r.prev_sentence, r.next_sentence) for r in with_neighbours(turns, ["k"], "turn", stretch=stretch).collect()]
+        assert sorted(got, key=str) == sorted([
+            (1, 0, "a", "", "b"), (1, 2, "b", "a", "c"), (1, 2, "c", "b", "d"), (1, 3, "d", "c", ""), (1, 9, None, "d", ""), (2, 5, "x", "", ""), (None, 1, "n", "", ""),
+        ], key=str)
