@@ -117,6 +117,8 @@ c AS (
   FROM o WHERE stage = 'passed'
 )"""
 _C = _with(_REF_SRC, _SENT, _OUTCOME, _CANDIDATES)
+_KEPT = """, first AS (SELECT min(cand_id) AS cand_id, doc_id FROM c WHERE cand_id % 2 = 1 OR cand_id NOT IN (SELECT ref_index FROM r WHERE r.doc_id = c.doc_id)
+  GROUP BY doc_id, text, first_author, year)"""
 
 _PAIR = """
 p AS (
@@ -398,6 +400,12 @@ SELECT doc_id, names AS authors, c_name AS first_author, 'Ann Other' AS other_au
   GROUP BY doc_id, text, first_author, year)
 SELECT doc_id, cand_id, text AS sentence, CASE marker WHEN 'first reported' THEN 'first' ELSE 'originally' END AS marker, authors, first_author,
   'Title ' || tag AS title, 'Journal J' AS journal, year, volume, '10-20' AS pages FROM c JOIN first USING (doc_id, cand_id)""",
+    "process_corpus": _with(_REF_SRC, _SENT, _OUTCOME, _CANDIDATES, _META) + _KEPT + """
+SELECT c.doc_id, row_number() OVER (ORDER BY c.doc_id, cand_id) AS no, coalesce(title, '') AS reviewing_title, text AS sentence,
+  CASE marker WHEN 'first reported' THEN 'first' ELSE 'originally' END AS marker, surname || ' A' AS evaluated_first_author, 'Title ' || tag AS evaluated_title,
+  year AS evaluated_year, CASE WHEN known THEN 'Inst ' || tag || ', Japan' ELSE '' END AS evaluated_institution,
+  CASE WHEN known THEN '日本' ELSE '' END AS evaluated_country, 'P' AS provider
+FROM (SELECT *, author_name AS surname, right(tag, 1) IN ('a', 'c', 'e', 'g', 'i') AS known FROM c) c JOIN first USING (doc_id, cand_id) LEFT JOIN lined ON lined.doc_id = c.doc_id""",
     "batch_report": _R + """
 , n AS (SELECT doc_id, count(*) AS n FROM r WHERE is_journal GROUP BY 1)
 SELECT o_orderkey AS doc_id, 'paper-' || o_orderkey AS name, CASE WHEN o_orderstatus = 'P' THEN 'broken file' END AS error,

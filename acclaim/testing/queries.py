@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acclaim import schemas
 from acclaim.functions import citations as C
 from acclaim.functions import names as N
 from acclaim.functions import text as T
@@ -18,6 +17,7 @@ from acclaim.operators import (
 from acclaim.operators.authors import add_author_mentions
 from acclaim.operators.vetoes import shared_author
 from acclaim.operators.years import add_year_mentions, nearest_year
+from acclaim.plans.corpus import process
 from acclaim.plans.mining import Mined, mine
 from acclaim.session import write_stage
 from acclaim.sources.gazetteer import Gazetteer
@@ -727,6 +727,24 @@ def assembled_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def process_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From papers, verdicts and works to the numbered register; works exist for every second part."""
+    rows = render.reference_rows(spark, sf_dir)
+    answers = rows.select("doc_id", F.col("ref_index").alias("cand_id"), (F.col("ref_index") % 2 == 1).alias("accept"), F.lit("x").alias("reason"))
+    affiliation = F.array(F.struct(F.concat(F.lit("Inst "), "tag", F.lit(", Japan.")).alias("name")))
+    works = rows.filter("l_partkey % 2 = 0").select("l_partkey", "tag", "year").distinct().select(
+        F.concat(F.lit("10.1/W"), "l_partkey").alias("doi"), F.array(F.concat(F.lit("Work "), "tag")).alias("title"),
+        F.array(F.struct(F.lit("Lead").alias("family"), F.lit("Ann").alias("given"), affiliation.alias("affiliation"))).alias("author"),
+        F.lit("9").alias("issue"), F.lit("9").alias("volume"), F.lit("9").alias("page"), F.col("year").alias("pub_year"),
+    )
+    done = process(_corpus(spark, sf_dir), _paper_meta(spark, sf_dir), answers, works)
+    return done.register("P").select(
+        "doc_id", "no", "reviewing_title", "sentence", "marker", "evaluated_first_author", "evaluated_title", "evaluated_year",
+        "evaluated_institution", "evaluated_country", "provider",
+    )
+
+
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     papers = _table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("paper-"), "o_orderkey").alias("name"),
@@ -930,5 +948,3 @@ def incremental_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "cand_id", "sent_idx", "text", "marker", "author_name", "year", "ref_index"
     )
 
-
-_ = schemas
