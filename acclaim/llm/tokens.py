@@ -82,9 +82,10 @@ class TextEncoder:
     def encode(self, text: str) -> bytes:
         chunks = text.split(" ")
         try:
-            if not text or chunks[0][-1:].isspace() or not chunks[0]:
+            # a leading space belongs to the chunk behind it
+            if not text or chunks[0][-1:].isspace():
                 raise _Irregular
-            head = self._cut(chunks[0])
+            head = self._cut(chunks[0]) if chunks[0] else b""
             del chunks[0]
             return head + b"".join(map(self._chunk.__getitem__, chunks))
         except _Irregular:
