@@ -148,12 +148,14 @@ def kneser_ney(lang: np.ndarray, count: np.ndarray, grams: list[np.ndarray], con
 
 
 def _lowest_ranks(rows: DataFrame, group: str, most: int) -> DataFrame:
-    """Up to ``most`` rows per group with the smallest ``_hash``; a large group is first thinned in parts."""
-    part = F.pmod("_hash", F.lit(64))
-    in_part = Window.partitionBy(group, part).orderBy("_hash", "doc_id")
-    thinned = rows.withColumn("_rank", F.row_number().over(in_part)).filter(F.col("_rank") <= most)
-    whole = Window.partitionBy(group).orderBy("_hash", "doc_id")
-    return thinned.withColumn("_rank", F.row_number().over(whole)).filter(F.col("_rank") <= most)
+    """Up to ``most`` rows per group in the order of ``_hash``.
+
+    Each group is first thinned to about twice as many by its own size, so no ranking sees a large group.
+    """
+    sizes = rows.groupBy(group).agg(F.count("*").alias("_n"))
+    share = F.pmod("_hash", F.lit(1 << 40)) / float(1 << 40)
+    thinned = rows.join(sizes, group).withColumn("_share", share).filter(F.col("_share") * F.col("_n") < 2 * most + 100)
+    return thinned.withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy("_share", "doc_id"))).filter(F.col("_rank") <= most)
 
 
 def fit(docs: DataFrame, labelled: Column, order: int = ORDER, fit_documents: int = FIT_DOCUMENTS, calibration_documents: int = CALIBRATION_DOCUMENTS) -> Models | None:
