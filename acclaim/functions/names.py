@@ -109,28 +109,31 @@ def split_author_list(text: Column, separator: str = r",\s+(?=[A-Z][a-z])") -> C
     )
 
 
+# fixed values: words that stand where an author list is looked for
 _NON_NAMES = ["authors", "correspondence", "highlights", "graphical abstract", "in brief"]
 
 
+def _unmarked(line: Column) -> Column:
+    """An author line without footnote marks: raised or lowered digits, and plain digits behind a letter."""
+    bare = F.regexp_replace(line, r"[\x{b2}\x{b3}\x{b9}\x{2070}-\x{209f}]|(?<=\p{L})\d{1,2}(?:,\d{1,2})*(?!\d)", "")
+    return F.translate(bare, "\u00a0", " ")
+
+
 def authors_by_dot(line: Column) -> Column:
-    """Author line with middle dots; superscripts and trailing digits are removed."""
-    bare = F.regexp_replace(line, r"[\x{b9}\x{b2}\x{b3}\x{2070}-\x{2089}]", "")
-    bare = F.regexp_replace(bare, r"(?<=[a-zA-Z])\d{1,2}(?:,\d{1,2})*", "")
-    bare = F.translate(bare, " ", " ")
-    parts = F.transform(F.split(bare, r"\s*[·•]\s*"), lambda n: strip(n))
-    return F.filter(parts, lambda n: (F.length(n) > 1) & ~n.rlike(r"^\d+$"))
+    """Names between middle dots."""
+    parts = F.transform(F.split(_unmarked(line), "[·•]"), lambda n: strip(n))
+    return F.filter(parts, lambda n: n.rlike(r"^.*\D.*$") & (F.length(n) > 1))
 
 
 def authors_by_comma(line: Column) -> Column:
-    """Author line with commas, "and" and ellipses."""
-    bare = F.regexp_replace(line, r"[\x{b9}\x{b2}\x{b3}\x{2070}-\x{2079}]", "")
-    bare = F.translate(F.regexp_replace(bare, r"(?<=[a-zA-Z])\d{1,2}", ""), " ", " ")
-    bare = F.regexp_replace(F.regexp_replace(bare, r",?\s+and\s+", ", "), r"\.\.\.|…", ",")
-    parts = F.transform(F.split(bare, r",\s*"), lambda n: F.regexp_replace(F.trim(n), r"^\.+|\.+$", ""))
-    return F.filter(parts, lambda n: (F.length(n) > 2) & n.rlike("^[A-Z]") & ~F.lower(n).isin(*_NON_NAMES))
+    """Names between commas, "and" and ellipses."""
+    parts = F.split(_unmarked(line), r",|…|\.{3}|(?<=\s)and(?=\s)")
+    names = F.transform(parts, lambda n: F.regexp_replace(strip(n), r"^\.+|\.+$", ""))
+    return F.filter(names, lambda n: (F.length(n) > 2) & n.rlike(r"^\p{Lu}") & ~F.lower(n).isin(*_NON_NAMES))
 
 
 def authors_by_superscript(line: Column) -> Column:
-    """"Kun Wang,1,17 Jun Wang,2,3" -> distinct names in order."""
-    bare = F.regexp_replace(F.regexp_replace(line, r"\band\s+", ""), r",\*|\*", "")
-    return F.array_distinct(F.regexp_extract_all(bare, F.lit(r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)(?:,\d+)+"), F.lit(1)))
+    """"Kun Wang,1,17 Jun Wang,2,3" -> distinct names in order; only names with numbers behind them count."""
+    parts = F.split(F.regexp_replace(line, r"\*|\band\s", ""), r"(?:\s*,\s*\d+)+[\s,]*")
+    numbered = F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda n: strip(n))
+    return F.array_distinct(F.filter(numbered, lambda n: n.rlike(r"^\p{Lu}\p{Ll}+(?:\s+\p{Lu}\p{Ll}+)+$")))

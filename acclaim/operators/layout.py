@@ -259,6 +259,7 @@ def title_author_block(papers: DataFrame, lines: DataFrame) -> DataFrame:
     )
 
 
+# fixed values: what ends an author block, and labels that are not one
 _INSTITUTION_START = r"^\s*(?:Department|Institute|University|School|Center|College|Lab|Faculty|Correspondence)"
 _NO_AUTHOR_BLOCKS = ["Authors", "Graphical abstract", "Highlights", "In Brief", "Correspondence", "Summary"]
 
