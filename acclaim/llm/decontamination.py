@@ -208,9 +208,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     )
 
 
+_BAD = "_acclaim_contaminated"
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
     keyed = row_key(docs)
     bad = stage(contamination(keyed, benchmark, keep=(KEY,), **options).filter("contaminated").select(KEY).distinct(), "contaminated")
     clean, others = parted(keyed, bad)
-    return clean.unionByName(others.join(bad, KEY, "left_anti")).select(*docs.columns)
+    # an anti join would be pushed below and move every text
+    innocent = others.join(bad.withColumn(_BAD, F.lit(True)), KEY, "left").filter(F.col(_BAD).isNull()).drop(_BAD)
+    return clean.unionByName(innocent).select(*docs.columns)

@@ -240,4 +240,5 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE) -> Dat
     # only rows that go, or that stand several times, have to be looked at
     gone = per_key.join(kept, KEY, "left_anti").select(KEY).union(per_key.filter("n > 1").select(KEY))
     alone, others = parted(keyed, stage(gone.distinct(), "class-copies"))
-    return alone.unionByName(others.join(kept, KEY, "left_semi").dropDuplicates([KEY])).select(*docs.columns)
+    # an inner join on unique keys: a semi join would be pushed below and move every text
+    return alone.unionByName(others.join(kept, KEY).dropDuplicates([KEY])).select(*docs.columns)
