@@ -79,25 +79,28 @@ KNOWN_TEXTS = (
 )
 
 
-def canonical(text: Column) -> Column:
-    """The normal form of a text; two texts that differ only in what a licence may vary have the same one."""
+def canonical_lines(text: Column) -> Column:
+    """The lines of a text in normal form, without those that vanish."""
     out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "")
     for pattern, replacement in SPELLINGS:
         out = F.regexp_replace(out, pattern, replacement)
-    return F.trim(F.regexp_replace(out, r"[^a-z0-9\x{80}-\x{10FFFF}]+", " "))
+    folded = F.regexp_replace(out, r"[^a-z0-9\n\x{80}-\x{10FFFF}]+", " ")
+    return F.filter(F.transform(F.split(folded, "\n"), lambda line: F.trim(line)), lambda line: line != "")
 
 
-def digest(text: Column) -> Column:
-    """The SHA-256 as 32 bytes; null for a text that normalises to nothing."""
-    form = canonical(text)
-    return F.when(form != "", F.unhex(F.sha2(form, 256)))
+def digest(lines: Column) -> Column:
+    """The SHA-256, as 32 bytes, of lines in normal form; null without any.
+
+    Two texts that differ only in what a licence may vary, line breaks included, have the same one.
+    """
+    return F.when(F.size(lines) > 0, F.unhex(F.sha2(F.array_join(lines, " "), 256)))
 
 
 def known_digests(spark: SparkSession, texts: DataFrame | None = None) -> DataFrame:
     """(license, digest) of the caller's table (license, text) or of the fixed list."""
     if texts is None:
         texts = spark.createDataFrame(list(KNOWN_TEXTS), "license string, text string")
-    known = texts.select("license", digest(F.col("text")).alias("digest")).filter("digest is not null")
+    known = texts.select("license", digest(canonical_lines(F.col("text"))).alias("digest")).filter("digest is not null")
     return known.groupBy("digest").agg(F.min("license").alias("license"))
 
 
@@ -107,10 +110,10 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     Lines are exploded only after their digests are stored; Spark joins the known digests as it finds
     their size.
     """
+    normal = docs.select(F.col("doc_id").cast("long").alias("doc_id"), canonical_lines(F.col("text")).alias("_lines"))
     docs = stage(
-        docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("digest"),
-            F.filter(F.transform(F.split("text", "\n"), digest), lambda d: d.isNotNull()).alias("lines"),
+        normal.select(
+            "doc_id", digest(F.col("_lines")).alias("digest"), F.transform("_lines", lambda line: F.unhex(F.sha2(line, 256))).alias("lines")
         ).withColumn("_row", F.monotonically_increasing_id()),
         "license-digests",
     )
