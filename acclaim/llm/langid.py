@@ -4,12 +4,18 @@ Each language has a model over the characters of words (start and end marked) up
 ``ORDER``.  The models are fitted on a bounded sample of labelled documents per language, merged
 into sorted hash arrays with one column per language, and every document takes the language of
 the lowest cross-entropy per character.  A document is rejected if even that is above the
-language's threshold, calibrated on further labelled documents.
+language's threshold, calibrated on labelled documents that the judging model was not fitted on.
+
+The threshold is a high quantile of the held documents' cross-entropy less the allowance for short
+texts, plus a slack; the allowance is added again when a text is judged.  Languages with few
+documents are judged by models that each leave a third of them out.  A language without a rightly
+judged held document takes the quantile over all languages.
 
 Only letters count: text is lowered, ASCII characters other than letters separate words.
 
 Defined results: a null text and a text without a letter are ``und`` with score 0.0 and rejected;
-without any labelled document everything is ``und``; repeated rows give a row each; extra columns
+without any labelled document everything is ``und``; if not one held document can be judged (a
+single word in all) nothing is rejected for its cross-entropy; repeated rows give a row each; extra columns
 are kept or ignored as asked; an empty table gives no rows; a null doc_id is never learned from.
 """
 
@@ -32,8 +38,12 @@ FIT_DOCUMENTS = 400
 CALIBRATION_DOCUMENTS = 200
 #: characters that a model holds possible, for the uniform distribution below order 1
 ALPHABET = 10_000
-#: cross-entropy (bits) allowed above the calibration's highest, and more for texts of few characters
+#: share of the held documents that the threshold covers without slack
+QUANTILE = 0.98
+#: cross-entropy (bits) allowed above that quantile, and more for texts of few characters
 SLACK, SHORT_SLACK = 1.0, 8.0
+#: a language with fewer held documents is calibrated by leaving out one of ``FOLDS`` parts after the other
+FEW_HELD, FOLDS = 30, 3
 #: words whose scores a worker keeps
 CACHED_WORDS = 150_000
 
@@ -166,12 +176,22 @@ def fit(docs: DataFrame, labelled: Column, order: int = ORDER, fit_documents: in
     ids = usable.select("doc_id", "lang", F.xxhash64(F.lit(3), "doc_id").alias("_hash"))
     chosen = _lowest_ranks(ids, "lang", fit_documents + calibration_documents).select("doc_id", F.col("lang").alias("_lang"), "_rank")
     chosen = stage(chosen, "language-sample")
-    languages = [r["_lang"] for r in chosen.select("_lang").distinct().orderBy("_lang").collect()]
+    apart = F.col("_rank") * calibration_documents % (fit_documents + calibration_documents) < calibration_documents
+    sizes = {r["_lang"]: (r["n"], r["held"]) for r in chosen.groupBy("_lang").agg(F.count("*").alias("n"), F.count_if(apart).alias("held")).orderBy("_lang").collect()}
+    languages = list(sizes)
     if not languages:
         return None
+    few = F.col("_lang").isin([x for x, (_, held) in sizes.items() if held < FEW_HELD])
+    # too few documents for a part each: every document is cut into parts
+    cut = F.col("_lang").isin([x for x, (n, _) in sizes.items() if n < FOLDS])
     # at most (fit + calibration) rows per language
     sample = usable.join(F.broadcast(chosen), "doc_id").filter(F.col("lang") == F.col("_lang"))
-    sample = stage(sample.select("doc_id", "text", "lang", "_rank"), "language-texts")
+    sample = sample.withColumn("_part", F.explode(F.when(cut, F.sequence(F.lit(0), F.lit(FOLDS - 1))).otherwise(F.array(F.lit(0)))))
+    size = F.ceil(F.length("text") / FOLDS).cast("int")
+    part = F.when(cut, F.substr("text", F.col("_part") * size + 1, size)).otherwise(F.col("text"))
+    # -1: fitted on always, FOLDS: held always, otherwise the fold that leaves it out
+    fold = F.when(few, (F.col("_rank") + F.col("_part")) % FOLDS).otherwise(F.when(apart, F.lit(FOLDS)).otherwise(F.lit(-1))).cast("int")
+    sample = stage(sample.select("lang", part.alias("text"), fold.alias("_fold")), "language-texts")
     number = {language: i for i, language in enumerate(languages)}
     names = [f"g{n}" for n in range(1, order + 1)] + [f"x{n}" for n in range(1, order + 1)]
     longs = ", ".join(f"{n} long" for n in names)
@@ -181,44 +201,63 @@ def fit(docs: DataFrame, labelled: Column, order: int = ORDER, fit_documents: in
 
         for batch in batches:
             texts, langs = batch.column(0).to_pylist(), np.array([number[x] for x in batch.column(1).to_pylist()])
+            folds = batch.column(2).to_numpy()
             for low, high in by_size(texts):
                 words = [words_of(t) for t in texts[low:high]]
                 grams, contexts, word = _gram_hashes([w for ws in words for w in ws], order)
-                of_word = np.repeat(langs[low:high], [len(ws) for ws in words])
+                of_word = np.repeat(np.arange(low, high), [len(ws) for ws in words])
                 if not word.size:
                     continue
-                lang = of_word[word]
-                keys = np.stack([lang.astype(np.uint64), grams[-1]])
+                lang, fold = langs[of_word[word]], folds[of_word[word]]
+                keys = np.stack([(lang * (FOLDS + 1) + fold + 1).astype(np.uint64), grams[-1]])
                 _, first, times = np.unique(keys, axis=1, return_index=True, return_counts=True)
-                columns = [pa.array(lang[first].astype(np.int32)), pa.array(times)] + [pa.array(h[first].astype(np.int64)) for h in (*grams, *contexts)]
-                yield pa.RecordBatch.from_arrays(columns, names=["lang", "c", *names])
+                columns = [pa.array(lang[first].astype(np.int32)), pa.array(fold[first].astype(np.int32)), pa.array(times)] + [pa.array(h[first].astype(np.int64)) for h in (*grams, *contexts)]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "fold", "c", *names])
 
-    counted = sample.filter(F.col("_rank") <= fit_documents).select("text", "lang").mapInArrow(count, f"lang int, c long, {longs}")
+    counted = sample.filter(F.col("_fold") < FOLDS).select("text", "lang", "_fold").mapInArrow(count, f"lang int, fold int, c long, {longs}")
     rest = [F.first(n).alias(n) for n in names if n != f"g{order}"]
-    counted = counted.groupBy("lang", f"g{order}").agg(F.sum("c").alias("c"), *rest)
-    table = counted.select("lang", "c", *names).toArrow()  # distinct grams of the bounded sample
+    in_fold = [F.sum(F.when(F.col("fold") == i, F.col("c")).otherwise(0)).alias(f"c{i}") for i in range(FOLDS)]
+    counted = counted.groupBy("lang", f"g{order}").agg(F.sum("c").alias("c"), *in_fold, *rest)
+    table = counted.select("lang", "c", *[f"c{i}" for i in range(FOLDS)], *names).toArrow()  # distinct grams of the bounded sample
     if not table.num_rows:
         return None
-    column = lambda name: table.column(name).to_numpy().astype(np.int64).astype(np.uint64)
-    model = kneser_ney(
-        table.column("lang").to_numpy(), table.column("c").to_numpy(), [column(f"g{n}") for n in range(1, order + 1)],
-        [column(f"x{n}") for n in range(1, order + 1)], languages,
-    )
-    held = sample.filter((F.col("_rank") > fit_documents) | (F.col("_rank") % 4 == 0))
-    judged = identify(held, model, keep=("lang",)).filter("lang = lang_pred").groupBy("lang").agg(F.max("_bits").alias("most"))
-    for row in judged.collect():
-        model.thresholds[number[row["lang"]]] = row["most"] + SLACK
+
+    def fitted(counts: np.ndarray) -> Models:
+        used = np.flatnonzero(counts)
+        column = lambda name: table.column(name).to_numpy()[used].astype(np.int64).astype(np.uint64)
+        grams, contexts = ([column(f"{kind}{n}") for n in range(1, order + 1)] for kind in "gx")
+        return kneser_ney(table.column("lang").to_numpy()[used], counts[used], grams, contexts, languages)
+
+    everything = table.column("c").to_numpy()
+    model = fitted(everything)
+    judged = identify(sample.filter(F.col("_fold") == FOLDS), model, keep=("lang",)).collect()  # at most calibration_documents per language
+    for i in range(FOLDS):
+        # what the model of this fold is fitted on; no few documents, no folds
+        left = everything - table.column(f"c{i}").to_numpy()
+        if left.any() and any(held < FEW_HELD for _, held in sizes.values()):
+            judged += identify(sample.filter(F.col("_fold") == i), fitted(left), keep=("lang",)).collect()
+    model.thresholds[:] = thresholds(languages, [(r["lang"], r["lang_pred"], r["_excess"]) for r in judged if r["_excess"] is not None])
     return model
 
 
+def thresholds(languages: list[str], judged: list[tuple[str, str, float]]) -> list[float]:
+    """The highest excess accepted per language, from (lang, lang_pred, excess) of held documents."""
+    right: dict[str, list[float]] = {}
+    for lang, predicted, excess in judged:
+        if lang == predicted:
+            right.setdefault(lang, []).append(excess)
+    pooled = [e for es in right.values() for e in es] or [excess for *_, excess in judged]
+    return [float(np.quantile(es, QUANTILE)) + SLACK if (es := right.get(x) or pooled) else math.inf for x in languages]
+
+
 def identify(docs: DataFrame, model: Models | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns with lang_pred, score (0 to 1), rejected and _bits (the cross-entropy)."""
+    """The kept columns with lang_pred, score (0 to 1), rejected, _bits (the cross-entropy) and _excess (less the allowance for short texts)."""
     spark = docs.sparkSession
     prepare(spark)
     shared = spark.sparkContext.broadcast(model)
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join([f"`{name}` {types[name]}" for name in keep] + ["lang_pred string, score double, rejected boolean, _bits double"])
-    names = [*keep, "lang_pred", "score", "rejected", "_bits"]
+    schema = ", ".join([f"`{name}` {types[name]}" for name in keep] + ["lang_pred string, score double, rejected boolean, _bits double, _excess double"])
+    names = [*keep, "lang_pred", "score", "rejected", "_bits", "_excess"]
     read = list(keep) if "text" in keep else [*keep, "text"]
     text_at = read.index("text")
 
@@ -231,8 +270,8 @@ def identify(docs: DataFrame, model: Models | None, keep: tuple[str, ...] = ("do
             texts = batch.column(text_at).to_pylist()
             found: list[tuple] = []
             for low, high in by_size(texts):
-                found += scorer.judge(texts[low:high]) if scorer else [(UNKNOWN, 0.0, True, None)] * (high - low)
-            kinds = (pa.string(), pa.float64(), pa.bool_(), pa.float64())
+                found += scorer.judge(texts[low:high]) if scorer else [(UNKNOWN, 0.0, True, None, None)] * (high - low)
+            kinds = (pa.string(), pa.float64(), pa.bool_(), pa.float64(), pa.float64())
             own = [pa.array([r[i] for r in found], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], *own], names=names)
 
@@ -292,8 +331,9 @@ class _WordScores:
         least = bits[np.arange(len(texts)), best]
         # odds of the others over at most 50 characters, so that the score still tells texts apart
         score = 1.0 / np.exp2(-np.minimum(characters, 50)[:, None] * (bits - least[:, None])).sum(axis=1)
-        rejected = least > self.model.thresholds[best] + SHORT_SLACK / np.sqrt(np.maximum(characters, 1))
+        excess = least - SHORT_SLACK / np.sqrt(np.maximum(characters, 1))
+        rejected = excess > self.model.thresholds[best]
         return [
-            (self.model.languages[b], float(s), bool(r), float(e)) if has else (UNKNOWN, 0.0, True, None)
-            for has, b, s, r, e in zip(letters, best, score, rejected, least)
+            (self.model.languages[b], float(s), bool(r), float(e), float(x)) if has else (UNKNOWN, 0.0, True, None, None)
+            for has, b, s, r, e, x in zip(letters, best, score, rejected, least, excess)
         ]

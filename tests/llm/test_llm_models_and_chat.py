@@ -100,6 +100,37 @@ def test_gibberish_is_rejected(spark, odd_docs):
     assert {r.doc_id: r.rejected for r in langid.identify(docs, model).collect()} == {1: True, 2: False}
 
 
+def test_one_word_documents_do_not_loosen_the_rejection(spark):
+    """Long texts of an unlearned language against a calibration set with one-word and mislabelled documents."""
+    from texts import prose
+
+    rows = [(i, prose(i, 60, "fr" if i % 4 == 0 else "en"), "fr" if i % 4 == 0 else "en") for i in range(800)]
+    rows += [(1000 + i, word, "en") for i, word in enumerate(["Anouble.", "Thwh.", "Xqzv.", "Kjgb.", "Jpvyk.", "Zzuqq."])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, F.lit(True))
+    other = "der fluss und das haus sind nicht weit von dem alten wald wo viele kinder jeden morgen spielen " * 20
+    junk = "qwpt zkrv mnbx lkjh gfds " * 60
+    got = langid.identify(spark.createDataFrame([(1, other), (2, junk), (3, prose(999, 300)), (4, prose(998, 300, "fr"))], "doc_id long, text string"), model)
+    assert {r.doc_id: r.rejected for r in got.collect()} == {1: True, 2: True, 3: False, 4: False}
+
+
+def test_every_language_has_a_threshold(spark):
+    """Few documents, a single one, and one that is never judged right."""
+    from texts import prose
+
+    rows = [(i, prose(i, 60), "en") for i in range(12)] + [(50, prose(50, 200, "fr"), "fr"), (51, prose(51, 3), "xx")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert model.languages == ["en", "fr", "xx"] and np.isfinite(model.thresholds).all()
+    other = "der fluss und das haus sind nicht weit von dem alten wald wo viele kinder jeden morgen spielen " * 20
+    got = langid.identify(spark.createDataFrame([(1, other), (2, prose(99, 200)), (3, prose(98, 200, "fr"))], "doc_id long, text string"), model)
+    assert {r.doc_id: r.rejected for r in got.collect()} == {1: True, 2: False, 3: False}
+
+
+def test_thresholds_of_held_documents():
+    judged = [("a", "a", 2.0)] * 199 + [("a", "a", 9.0), ("b", "a", 1.0)]
+    assert langid.thresholds(["a", "b"], judged) == [2.0 + langid.SLACK] * 2
+
+
 def test_kneser_ney_sums_to_one():
     """Over every character of the alphabet, at order 1 and after a seen context."""
     grams, contexts, _ = langid._gram_hashes([b"abab", b"abc", b"cab", b"b"], 2)
