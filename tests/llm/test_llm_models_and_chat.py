@@ -73,6 +73,17 @@ def test_model_beats_the_base_on_held_out_texts(spark):
     assert rows[0] > rows[1]
 
 
+def test_long_unseen_tokens_cost_their_length(odd_docs):
+    """A random token of 2n bytes costs about twice one of n bytes, far below the smallest double."""
+    import random
+
+    letters = random.Random(5).choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=9000)
+    rows = [(None, "".join(letters[at:at + n]), None) for at, n in ((0, 1500), (1500, 3000))]
+    docs = odd_docs.select("doc_id", "text", "lang").unionByName(odd_docs.sparkSession.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got = sorted(r.score for r in mixing.scores(docs).filter("doc_id is null and n_tokens = 2").collect())
+    assert len(got) == 2 and got[0] < -3000 and got[0] / got[1] == pytest.approx(2, rel=0.1)
+
+
 # --- language identification -----------------------------------------------------------
 
 
