@@ -2,8 +2,8 @@
 
 A text is normalised (lower case, copyright lines dropped, equivalent spellings unified,
 punctuation and white space folded) and its SHA-256 looked up among the digests of known licence
-texts.  Whole documents, and every line of them, are looked up; the known texts are a short fixed
-list, or the caller's table.
+texts.  Whole documents, and every line of them, are looked up; the known texts are the files of
+``data/licenses`` with short texts and notices listed here, or the caller's table.
 
 Defined results: null and empty texts match nothing, nor do texts that normalise to nothing;
 repeated rows give a row each; a licence that matches several lines is named once; extra columns
@@ -12,6 +12,9 @@ are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,21 +64,50 @@ http://www.apache.org/licenses/LICENSE-2.0
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an
 "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific
 language governing permissions and limitations under the License."""
+#: whole texts, one file each, named by license and perhaps an edition
+FOLDER = Path(__file__).resolve().parents[1] / "data" / "licenses"
+VERBS = ("Released under", "Licensed under", "Distributed under", "This work is licensed under")
+TITLES = {
+    "MIT": ("MIT License", "MIT"),
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache 2.0", "Apache-2.0"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "3-Clause BSD License"), "BSD-2-Clause": ("BSD 2-Clause License", "2-Clause BSD License"),
+    "GPL-3.0": ("GNU General Public License v3", "GNU General Public License, version 3", "GNU General Public License v3.0", "GPL v3", "GPL version 3", "GPLv3"),
+    "GPL-2.0": ("GNU General Public License v2", "GNU General Public License, version 2", "GNU General Public License v2.0", "GPL v2", "GPL version 2", "GPLv2"),
+    "LGPL-3.0": ("GNU Lesser General Public License v3", "GNU Lesser General Public License, version 3", "LGPL v3", "LGPL version 3", "LGPLv3"),
+    "LGPL-2.1": ("GNU Lesser General Public License v2.1", "GNU Lesser General Public License, version 2.1", "LGPL v2.1", "LGPL version 2.1", "LGPLv2.1"),
+    "AGPL-3.0": ("GNU Affero General Public License v3", "GNU Affero General Public License, version 3", "AGPL v3", "AGPL version 3", "AGPLv3"),
+    "MPL-2.0": ("Mozilla Public License 2.0", "Mozilla Public License, version 2.0", "Mozilla Public License, v. 2.0", "MPL 2.0"),
+    "ISC": ("ISC License",), "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD License"), "Zlib": ("zlib License",),
+    "Unlicense": ("Unlicense",), "BSL-1.0": ("Boost Software License 1.0", "Boost Software License, Version 1.0"),
+    "CC0-1.0": ("CC0 1.0", "CC0 1.0 Universal", "Creative Commons Zero v1.0 Universal"),
+    "CC-BY-4.0": ("CC BY 4.0", "Creative Commons Attribution 4.0 License", "Creative Commons Attribution 4.0 International License"),
+    "CC-BY-SA-4.0": ("CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"),
+    "CC-BY-NC-4.0": ("CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"),
+}
+
+
+def _whole_texts() -> list[tuple[str, str]]:
+    """The files' texts, also without the appendix after their terms, and BSD texts by title, numbering and clauses."""
+    out = []
+    for path in sorted(FOLDER.glob("*.txt")):
+        name, text = path.stem.removesuffix("-regents"), path.read_text()
+        if name != "BSD-3-Clause":
+            terms = re.match(r"(?s).*?END OF TERMS AND CONDITIONS", text)
+            out += [(name, text)] + ([(name, terms[0])] if terms else [])
+            continue
+        body = text[text.index("Redistribution and use"):]
+        two = re.sub(r"(?s)\n\s*3\..*?(?=\n\s*\n\s*THIS SOFTWARE)", "", body)
+        for clauses, kept in (("BSD-3-Clause", body), ("BSD-2-Clause", two)):
+            titles = ("", *(f"{title}\n" for title in TITLES[clauses]), f"The {TITLES[clauses][0]}\n")
+            out += [(clauses, f"{title}{form}") for title in titles for form in (kept, re.sub(r"(?m)^\s*\d\.\s", "", kept))]
+    return out
+
+
 KNOWN_TEXTS = (
     ("MIT", _MIT), ("MIT", f"MIT License\n{_MIT}"), ("MIT", f"The MIT License\n{_MIT}"), ("MIT", f"The MIT License (MIT)\n{_MIT}"),
     ("ISC", f"{_ISC}\n{_ISC_END}"), ("ISC", f"ISC License\n{_ISC}\n{_ISC_END}"),
-    ("0BSD", f"{_0BSD}\n{_ISC_END}"), ("Zlib", _ZLIB), ("Apache-2.0", _APACHE_NOTICE),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-) + tuple(
-    (name, f"{verb} the {title}{end}")
-    for name, titles in (
-        ("MIT", ("MIT License",)), ("Apache-2.0", ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License")),
-        ("BSD-3-Clause", ("BSD 3-Clause License", "3-Clause BSD License")), ("BSD-2-Clause", ("BSD 2-Clause License",)),
-        ("GPL-3.0", ("GNU General Public License v3", "GNU General Public License, version 3", "GPL v3")),
-        ("GPL-2.0", ("GNU General Public License v2", "GNU General Public License, version 2", "GPL v2")),
-        ("MPL-2.0", ("Mozilla Public License 2.0",)), ("ISC", ("ISC License",)), ("CC-BY-4.0", ("Creative Commons Attribution 4.0 License",)),
-    )
-    for title in titles for verb in ("Released under", "Licensed under", "Distributed under", "This work is licensed under") for end in ("", ".")
+    ("0BSD", f"{_0BSD}\n{_ISC_END}"), ("Zlib", _ZLIB), ("Apache-2.0", _APACHE_NOTICE), *_whole_texts(),
+    *((name, f"{verb} {article}{title}.") for name, titles in TITLES.items() for title in titles for verb in VERBS for article in ("", "the ")),
 )
 
 

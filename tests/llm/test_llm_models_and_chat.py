@@ -159,6 +159,25 @@ def test_kneser_ney_sums_to_one():
         assert total == pytest.approx(1.0, abs=1e-4)
 
 
+# --- licences ---------------------------------------------------------------------------
+
+
+def test_whole_license_texts_are_named(spark):
+    from acclaim.llm import licenses
+
+    read = lambda name: (licenses.FOLDER / f"{name}.txt").read_text()
+    names = ["Apache-2.0", "BSD-3-Clause", "BSL-1.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense"]
+    two = """BSD 2-Clause License\n\nCopyright (c) 2020, Somebody\n\nRedistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:\n
+* Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n
+* Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer
+in the documentation and/or other materials provided with the distribution.\n\n""" + read("BSD-3-Clause").partition("THIS SOFTWARE")[1] + read("BSD-3-Clause").partition("THIS SOFTWARE")[2]
+    texts = {name: "Copyright 2021 Somebody\n\n" + " \n".join(read(name).upper().split("\n")) for name in names} | {"BSD-2-Clause": two, "CC-BY-4.0": "Released under CC BY 4.0."}
+    docs = spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string")
+    got = {r.doc_id: r.license for r in licenses.scan(docs, licenses.known_digests(spark)).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts)
+
+
 # --- chat ------------------------------------------------------------------------------
 
 
