@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acclaim.llm import chat, decontamination, editcounts, langid, licenses, lzprint, mixing, packing, planes, simhash
+from acclaim.llm import chat, decontamination, editcounts, langid, licenses, lzprint, mixing, packing, planes, simhash, topk
 from acclaim.llm.common import remainder, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -95,10 +95,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out, "lang_pred", "score", "rejected")
 
 
+def op11_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(topk.whole_vectors(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0, 10)
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_best_fit_packing, op2_phrase_fingerprints, op3_decontamination, op4_edit_counts, op5_simhash_near_dedup,
         op6_context_mixing, op7_license_scan, op8_chat_formatting, op9_token_files, op10_language_id,
+        op11_top_k_search,
     )}
 
 
@@ -185,5 +190,20 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
 FROM turns GROUP BY conv_id"""
 
 
+# Every query row against every other row; products below 2**53 are exact as doubles.
+OP11_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS row_no, vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.row_no, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.row_no <> c.row_no AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(row_number() OVER best AS INTEGER) AS rank, vec_id, score FROM scored
+WINDOW best AS (PARTITION BY row_no ORDER BY score DESC, vec_id NULLS LAST)
+QUALIFY row_number() OVER best <= 10
+"""
+
+
 def llm_oracles() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL, "op7_license_scan": op7_sql(), "op8_chat_formatting": op8_sql()}
+    return {"op3_decontamination": OP3_SQL, "op7_license_scan": op7_sql(), "op8_chat_formatting": op8_sql(), "op11_top_k_search": OP11_SQL}
