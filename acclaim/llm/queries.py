@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acclaim.llm import chat, decontamination, editcounts, langid, licenses, lzprint, mixing, packing, planes, simhash, topk
+from acclaim.llm import chat, decontamination, editcounts, langid, licenses, lzprint, mixing, packing, planes, repair, simhash, topk
 from acclaim.llm.common import remainder, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -99,11 +99,25 @@ def op11_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(topk.whole_vectors(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0, 10)
 
 
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    rows = repair.damage(conversations)
+    found = repair.repairs(rows)
+    digests = repair.turn_digests(repair.repaired_turns(rows, found)).withColumnRenamed("conv_id", "_turns_of")
+    found = found.withColumnRenamed("conv_id", "_found_of")
+    ids = conversations.select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
+    all_of = ids.join(found, F.col("conv_id").eqNullSafe(F.col("_found_of")), "left").join(digests, F.col("conv_id").eqNullSafe(F.col("_turns_of")), "left")
+    counted = [F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return all_of.select(
+        "conv_id", *counted, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_best_fit_packing, op2_phrase_fingerprints, op3_decontamination, op4_edit_counts, op5_simhash_near_dedup,
         op6_context_mixing, op7_license_scan, op8_chat_formatting, op9_token_files, op10_language_id,
-        op11_top_k_search,
+        op11_top_k_search, op12_structure_repair,
     )}
 
 
@@ -205,5 +219,68 @@ QUALIFY row_number() OVER best <= 10
 """
 
 
+def crc32_sql(text: str) -> str:
+    """Unsigned crc32 of ASCII text, bit by bit."""
+    return (
+        f"xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split({text}, ''), lambda c: ascii(c)::UBIGINT)), "
+        "lambda a, b: list_reduce([xor(a, b), 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT], "
+        "lambda c, z: xor(c >> 1, (c & 1::UBIGINT) * 3988292384::UBIGINT))), 4294967295::UBIGINT)"
+    )
+
+
+# The plain programme, row by row: per state the least (cost, audit), with at most two turns put in before a row.
+OP12_SQL = rf"""
+WITH RECURSIVE base AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {crc32_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS kind
+  FROM conversations),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM base)),
+numbered AS (
+  SELECT *, left(role, 1) AS r, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i,
+         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS r_before
+  FROM damaged),
+faults AS (
+  SELECT *, CASE WHEN body = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+  FROM numbered),
+-- states: 0 nothing, 1 system, 2 user, 3 assistant
+inserts(state, put, added, cost, reached) AS (VALUES
+  (0, '', []::VARCHAR[], 0, 0), (0, 'I', ['user:'], 2, 2), (0, 'II', ['user:', 'assistant:'], 4, 3),
+  (1, '', [], 0, 1), (1, 'I', ['user:'], 2, 2), (1, 'II', ['user:', 'assistant:'], 4, 3),
+  (2, '', [], 0, 2), (2, 'I', ['assistant:'], 2, 3), (2, 'II', ['assistant:', 'user:'], 4, 2),
+  (3, '', [], 0, 3), (3, 'I', ['user:'], 2, 2), (3, 'II', ['user:', 'assistant:'], 4, 3)),
+moves(state, r, reached, role) AS (VALUES (0, 's', 1, ''), (0, 'u', 2, 'user'), (1, 'u', 2, 'user'), (2, 'a', 3, 'assistant'), (3, 'u', 2, 'user')),
+edits AS (
+  SELECT conv_id, i, s.state, 'D' AS letter, 3 AS cost, s.state AS reached, []::VARCHAR[] AS line FROM faults, (VALUES (0), (1), (2), (3)) s(state)
+  UNION ALL SELECT conv_id, i, state, 'K', (fault = 'truncated')::INT, reached, [f.role || ':' || text] FROM faults f JOIN moves USING (r) WHERE fault IN ('', 'truncated')
+  UNION ALL SELECT conv_id, i, state, 'R', 2 + (fault = 'truncated')::INT, reached, [moves.role || ':' || text] FROM faults f, moves WHERE fault IN ('', 'truncated') AND moves.role <> ''),
+dp AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, 0 AS state, {{'cost': 0, 'audit': '', 'lines': []::VARCHAR[]}} AS best FROM faults
+  UNION ALL
+  SELECT dp.conv_id, dp.i + 1, e.reached, min({{'cost': best.cost + n.cost + e.cost, 'audit': best.audit || n.put || e.letter, 'lines': best.lines || n.added || e.line}})
+  FROM dp JOIN inserts n ON dp.state = n.state JOIN edits e ON e.conv_id IS NOT DISTINCT FROM dp.conv_id AND e.i = dp.i + 1 AND e.state = n.reached
+  GROUP BY dp.conv_id, dp.i + 1, e.reached),
+counted AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(fault = 'blank') AS blank,
+         count_if(fault = 'duplicate') AS duplicate, count_if(fault = 'truncated') AS truncated, count_if(r_before || r NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faults GROUP BY conv_id),
+ended AS (
+  SELECT dp.conv_id, min({{'cost': best.cost + n.cost, 'audit': best.audit || n.put, 'lines': best.lines || n.added}}) AS best
+  FROM dp JOIN inserts n ON dp.state = n.state JOIN counted c ON c.conv_id IS NOT DISTINCT FROM dp.conv_id AND c.n = dp.i
+  WHERE n.reached IN (0, 3) GROUP BY dp.conv_id)
+SELECT ids.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.cost, 0)::BIGINT AS cost,
+       coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) ids
+LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM ids.conv_id
+"""
+
+
 def llm_oracles() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL, "op7_license_scan": op7_sql(), "op8_chat_formatting": op8_sql(), "op11_top_k_search": OP11_SQL}
+    return {
+        "op3_decontamination": OP3_SQL, "op7_license_scan": op7_sql(), "op8_chat_formatting": op8_sql(), "op11_top_k_search": OP11_SQL,
+        "op12_structure_repair": OP12_SQL,
+    }
