@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acclaim.llm import chat, decontamination, editcounts, langid, licenses, lzprint, mixing, packing, planes, repair, simhash, topk
+from acclaim.llm import chat, decontamination, editcounts, langid, licenses, lzprint, mixing, packing, planes, prefixtrie, repair, simhash, topk
 from acclaim.llm.common import remainder, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -113,11 +113,16 @@ def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefixtrie.turn_digests(table(spark, sf_dir, "conversations"))
+    return prefixtrie.trie(prefixtrie.rebuilt(turns))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_best_fit_packing, op2_phrase_fingerprints, op3_decontamination, op4_edit_counts, op5_simhash_near_dedup,
         op6_context_mixing, op7_license_scan, op8_chat_formatting, op9_token_files, op10_language_id,
-        op11_top_k_search, op12_structure_repair,
+        op11_top_k_search, op12_structure_repair, op13_prefix_trie,
     )}
 
 
@@ -279,8 +284,39 @@ LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN ende
 """
 
 
+# Prefixes as joined digests of their turns; subtree sums over every node's whole path.
+OP13_SQL = rf"""
+WITH turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) - 1 AS pos,
+         md5(length(role) || ':' || role || text) AS digest, len(regexp_extract_all(text, '[^ 	-]+')) AS words
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+ids AS (SELECT DISTINCT conv_id, conv_id - conv_id % 20 AS base, {crc32_sql("conv_id::VARCHAR")} % 4 AS h FROM turns),
+rebuilt AS (
+  SELECT ids.conv_id, 0 AS kind, pos, digest, words FROM ids JOIN turns ON turns.conv_id = base AND pos < h
+  UNION ALL SELECT ids.conv_id, 1, pos, digest, words FROM ids JOIN turns ON turns.conv_id = ids.conv_id AND pos >= h),
+prefixes AS (
+  SELECT conv_id, row_number() OVER seq AS depth, words, string_agg(digest, '') OVER seq AS name FROM rebuilt
+  WINDOW seq AS (PARTITION BY conv_id ORDER BY kind, pos ROWS UNBOUNDED PRECEDING)
+  UNION ALL SELECT conv_id, 0, 0, '' FROM ids),
+path AS (SELECT *, min(conv_id) OVER (PARTITION BY depth, name) AS rep FROM prefixes),
+nodes AS (SELECT rep, depth, count(*) AS n_convs, any_value(words) AS words FROM path GROUP BY rep, depth),
+linked AS (SELECT n.*, p.rep AS parent FROM nodes n LEFT JOIN path p ON p.conv_id = n.rep AND p.depth = n.depth - 1),
+children AS (SELECT parent AS rep, depth - 1 AS depth, count(*) AS n_children FROM linked WHERE parent IS NOT NULL GROUP BY ALL),
+own AS (SELECT linked.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * words AS saved FROM linked LEFT JOIN children USING (rep, depth)),
+totals AS (
+  SELECT p.rep, p.depth, count_if(n_children = 0) AS n_leaves, sum(saved) AS saved_tokens
+  FROM own JOIN path p ON p.conv_id = own.rep AND p.depth <= own.depth GROUP BY ALL),
+ends AS (
+  SELECT rep, depth, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends_sha256
+  FROM (SELECT * FROM path QUALIFY depth = max(depth) OVER (PARTITION BY conv_id)) GROUP BY ALL)
+SELECT rep AS conv_id, depth::BIGINT AS depth, parent AS parent_conv_id, n_convs, n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves,
+       saved_tokens::BIGINT AS saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM own JOIN totals USING (rep, depth) LEFT JOIN ends USING (rep, depth)
+"""
+
+
 def llm_oracles() -> dict[str, str]:
     return {
         "op3_decontamination": OP3_SQL, "op7_license_scan": op7_sql(), "op8_chat_formatting": op8_sql(), "op11_top_k_search": OP11_SQL,
-        "op12_structure_repair": OP12_SQL,
+        "op12_structure_repair": OP12_SQL, "op13_prefix_trie": OP13_SQL,
     }
