@@ -133,57 +133,6 @@ def grow_reference(anchors: DataFrame) -> DataFrame:
     )
 
 
-def locate_references(refs: DataFrame, pages: DataFrame, last_pages: int = 5) -> DataFrame:
-    """(doc_id, ref_index, page_num, method): first of the last pages on which a reference is found.
-
-    Ladder: full text, number with surname on the same or next line, surname with year,
-    first long part, longest clauses.  References and page texts meet once per paper.
-    """
-    from acclaim.operators.evidence import clauses, longest_first
-
-    wanted = refs.groupBy("doc_id").agg(
-        F.collect_list(
-            F.struct("ref_index", T.squeeze(F.col("raw_text")).alias("raw"),
-                     N.short_surname(F.col("first_author")).alias("surname"), "year")
-        ).alias("refs")
-    )
-    last = pages.groupBy("doc_id").agg(F.max("page_num").alias("last"))
-    tail = pages.join(last, "doc_id").filter(F.col("page_num") > F.col("last") - last_pages)
-    texts = tail.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_num", "text"))).alias("pages"))
-
-    def quoted(value: Column) -> Column:
-        return F.concat(F.lit("\\Q"), F.replace(value, F.lit("\\E"), F.lit("")), F.lit("\\E"))
-
-    def method(page: Column, r: Column) -> Column:
-        text = page["text"]
-        has_name = F.length(F.coalesce(r["surname"], F.lit(""))) > 0
-        number = F.concat(
-            F.lit(r"(?i)(?:\["), r["ref_index"], F.lit(r"\]|(?<![\d.])"), r["ref_index"], F.lit(r"[.\t])[^\n]*(?:\n[^\n]*)?"),
-            quoted(r["surname"]),
-        )
-        named = F.concat(quoted(r["surname"]), F.lit(r"[^\n]*(?:\n[^\n]*){0,3}"), quoted(r["year"]))
-        parts = F.filter(F.transform(F.split(r["raw"], "[．.]"), lambda p: T.strip(p)), lambda p: F.length(p) >= 10)
-        some = longest_first(clauses(r["raw"], 10), 3)
-        return (
-            F.when((r["raw"] != "") & F.contains(T.squeeze(text), r["raw"]), "full_text")
-            .when(has_name & (r["ref_index"] > 0) & F.regexp_like(text, number), "number")
-            .when(has_name & (F.length(r["year"]) > 0) & F.regexp_like(text, named), "surname_year")
-            .when(F.exists(parts, lambda p: F.contains(text, p)), "part")
-            .when(F.exists(some, lambda p: F.contains(text, p)), "clauses")
-        )
-
-    joined = wanted.join(texts, "doc_id").select("doc_id", "pages", F.explode("refs").alias("r"))
-    hits = F.filter(
-        F.transform(
-            "pages", lambda p: F.struct(p["page_num"].alias("page_num"), method(p, F.col("r")).alias("method"))
-        ),
-        lambda h: h["method"].isNotNull(),
-    )
-    return joined.select("doc_id", F.col("r.ref_index").alias("ref_index"), F.explode(F.array(F.try_element_at(hits, F.lit(1)))).alias("h")).select(
-        "doc_id", "ref_index", "h.page_num", "h.method"
-    )
-
-
 def _title_line(line: Column) -> Column:
     return (
         (F.length(line) >= 10)

@@ -161,6 +161,21 @@ lined AS (
   FROM meta
 )"""
 
+_REGISTER_COLUMNS = """
+  coalesce(names || '. ' || title || '[J]. ' || journal || ', ' || pyear || CASE WHEN vi <> '' THEN ', ' || vi ELSE '' END || ': 1-34.', '') AS reviewing_citation,
+  coalesce(c_name, '') AS reviewing_first_author, CASE WHEN c_name IS NULL THEN '' ELSE 'Ann Other' END AS reviewing_other_authors, coalesce(title, '') AS reviewing_title,
+  coalesce(journal || ', ' || pyear || CASE WHEN vi <> '' THEN ', ' || vi ELSE '' END || ': 1-34.', '') AS reviewing_journal_line,
+  coalesce(journal, '') AS reviewing_journal, coalesce(pyear, '') AS reviewing_year, coalesce(vi || ': 1-34', '') AS reviewing_pages_line,
+  CASE WHEN c_name IS NULL THEN '' ELSE 'Some Institute' END AS reviewing_institution, CASE WHEN c_name IS NULL THEN '' ELSE '中国' END AS reviewing_country, 'Sentence about Title ' || tag AS sentence, 'first' AS marker,
+  surname || ' A, Coauth B. Title ' || tag || '[J].' || CASE WHEN is_journal THEN ' Journal J,' ELSE '' END || ' ' || year || ', ' || volume ||
+    '(' || issue || '): 10-20.' AS evaluated_citation,
+  surname || ' A' AS evaluated_first_author, 'Coauth B' AS evaluated_other_authors, 'Title ' || tag AS evaluated_title,
+  CASE WHEN is_journal THEN 'Journal J' ELSE '' END || ', ' || year || ', ' || volume || '(' || issue || '): 10-20.' AS evaluated_journal_line,
+  CASE WHEN is_journal THEN 'Journal J' ELSE '' END AS evaluated_journal, year AS evaluated_year,
+  volume || '(' || issue || '): 10-20.' AS evaluated_pages_line, CASE WHEN is_journal THEN 'Inst' ELSE '' END AS evaluated_institution,
+  CASE WHEN is_journal THEN 'Japan' ELSE '' END AS evaluated_country, '' AS other_evaluated, 'P' AS provider, '' AS remark
+"""
+
 _ORACLES: dict[str, str] = {
     "funnel_counts": _O + """
 SELECT doc_id, count(*) AS total_sentences, count(*) FILTER (stage <> 'none') AS has_marker,
@@ -360,27 +375,10 @@ SELECT doc_id, ref_index AS cand_id, CAST(start AS INTEGER) AS start, CASE WHEN
 , n AS (SELECT doc_id, ref_index, text, unnest([{_MARKER_OF_T}, surname, year]) AS needle FROM s)
 SELECT doc_id, ref_index, CAST(strpos(text, needle) - 1 AS INTEGER) AS start, CAST(strpos(text, needle) - 1 + length(needle) AS INTEGER) AS "end"
 FROM n WHERE needle IS NOT NULL AND strpos(text, needle) > 0""",
-    "register_rows": _with(_REF_SRC, _META) + """
-SELECT doc_id, CAST(ref_index AS BIGINT) AS no,
-  coalesce(names || '. ' || title || '[J]. ' || journal || ', ' || pyear || CASE WHEN vi <> '' THEN ', ' || vi ELSE '' END || ': 1-34.', '') AS reviewing_citation,
-  coalesce(c_name, '') AS reviewing_first_author, CASE WHEN c_name IS NULL THEN '' ELSE 'Ann Other' END AS reviewing_other_authors, coalesce(title, '') AS reviewing_title,
-  coalesce(journal || ', ' || pyear || CASE WHEN vi <> '' THEN ', ' || vi ELSE '' END || ': 1-34.', '') AS reviewing_journal_line,
-  coalesce(journal, '') AS reviewing_journal, coalesce(pyear, '') AS reviewing_year, coalesce(vi || ': 1-34', '') AS reviewing_pages_line,
-  CASE WHEN c_name IS NULL THEN '' ELSE 'Some Institute' END AS reviewing_institution, CASE WHEN c_name IS NULL THEN '' ELSE '中国' END AS reviewing_country, 'Sentence about Title ' || tag AS sentence, 'first' AS marker,
-  surname || ' A, Coauth B. Title ' || tag || '[J].' || CASE WHEN is_journal THEN ' Journal J,' ELSE '' END || ' ' || year || ', ' || volume ||
-    '(' || issue || '): 10-20.' AS evaluated_citation,
-  surname || ' A' AS evaluated_first_author, 'Coauth B' AS evaluated_other_authors, 'Title ' || tag AS evaluated_title,
-  CASE WHEN is_journal THEN 'Journal J' ELSE '' END || ', ' || year || ', ' || volume || '(' || issue || '): 10-20.' AS evaluated_journal_line,
-  CASE WHEN is_journal THEN 'Journal J' ELSE '' END AS evaluated_journal, year AS evaluated_year,
-  volume || '(' || issue || '): 10-20.' AS evaluated_pages_line, CASE WHEN is_journal THEN 'Inst' ELSE '' END AS evaluated_institution,
-  CASE WHEN is_journal THEN 'Japan' ELSE '' END AS evaluated_country, '' AS other_evaluated, 'P' AS provider, '' AS remark
-FROM r LEFT JOIN (SELECT * FROM lined WHERE doc_id % 13 <> 0) USING (doc_id)""",
+    "register_rows": _with(_REF_SRC, _META) + "SELECT doc_id, CAST(ref_index AS BIGINT) AS no," + _REGISTER_COLUMNS + "FROM r LEFT JOIN (SELECT * FROM lined WHERE doc_id % 13 <> 0) USING (doc_id)",
     "register_global_no": _R + """
 SELECT doc_id, ref_index AS cand_id, row_number() OVER (ORDER BY doc_id, ref_index) AS no FROM r""",
-    "register_hashed_no": _with(_REF_SRC, _META) + """
-SELECT r.doc_id * 3000000037 - 4000000000000000000 AS doc_id, row_number() OVER (ORDER BY r.doc_id, ref_index) AS no, coalesce(title, '') AS reviewing_title,
-  'Sentence about Title ' || tag AS sentence, surname || ' A' AS evaluated_first_author, r.year AS evaluated_year,
-  volume || '(' || issue || '): 10-20.' AS evaluated_pages_line FROM r LEFT JOIN lined USING (doc_id)""",
+    "register_hashed_no": _with(_REF_SRC, _META) + "SELECT r.doc_id * 3000000037 - 4000000000000000000 AS doc_id, row_number() OVER (ORDER BY r.doc_id, ref_index) AS no," + _REGISTER_COLUMNS + "FROM r LEFT JOIN lined USING (doc_id)",
     "form_rows": _with(_REF_SRC, _META) + """
 , f AS (
   SELECT doc_id, ref_index AS cand_id, [names, journal || ', ' || pyear || ', ' || vi || ': 1-34.', '', 'Some Institute', '', title, '/', '/',
@@ -475,4 +473,6 @@ SELECT doc_id, count(*) AS n_records, count(*) FILTER (doc_id % 11 <> 0) AS n_lo
 
 
 def all_oracles() -> dict[str, str]:
-    return dict(_ORACLES)
+    from acclaim.testing.page_queries import PAGE_ORACLES
+
+    return _ORACLES | PAGE_ORACLES

@@ -15,12 +15,12 @@ from acclaim.operators import (
     sentences, verdicts,
 )
 from acclaim.operators.authors import add_author_mentions
+from acclaim.operators.places import with_known_country
 from acclaim.operators.vetoes import shared_author
 from acclaim.operators.years import add_year_mentions, nearest_year
 from acclaim.plans.corpus import process
 from acclaim.plans.mining import Mined, mine
 from acclaim.session import write_stage
-from acclaim.sources.gazetteer import Gazetteer
 from acclaim.sources.lexicon import default_phrases
 from acclaim.sources.works import flat_works
 from acclaim.streaming.progress import latest_progress, progress_windows as windows_of_progress, run_progress
@@ -36,6 +36,9 @@ def query(fn: Query) -> Query:
 
 
 def all_queries() -> dict[str, Query]:
+    # registers itself here and uses this module's fixtures
+    import acclaim.testing.page_queries  # noqa: F401
+
     return dict(_QUERIES)
 
 
@@ -554,10 +557,11 @@ def country_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = _table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
     place = F.when(F.col("s_suppkey") % 3 == 0, "Elsewhere").otherwise(F.col("n_name"))
     institution = F.concat(F.lit("Dept of "), "s_name", F.lit(", City, "), place)
-    return suppliers.select(
-        "s_suppkey", institution.alias("institution"),
-        enrich.country_of(institution, Gazetteer.of(places)).alias("country"),
-        enrich.country_of(institution, Gazetteer.of(places), last_part=False).alias("strict_country"),
+    found = with_known_country(suppliers.select("s_suppkey", institution.alias("institution")), "institution", places)
+    known, text = F.col("known_country"), F.col("institution")
+    return found.select(
+        "s_suppkey", "institution", enrich.country_or_tail(known, text).alias("country"),
+        enrich.country_or_tail(known, text, last_part=False).alias("strict_country"),
     )
 
 
@@ -698,9 +702,7 @@ def register_hashed_no(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = F.col("doc_id") * 3_000_000_037 - 4_000_000_000_000_000_000
     numbered = register.number_globally(_final_records(spark, sf_dir).withColumn("doc_id", wide))
     papers = _paper_meta(spark, sf_dir).withColumn("doc_id", wide)
-    return register.register(numbered, papers, provider="P").select(
-        "doc_id", "no", "reviewing_title", "sentence", "evaluated_first_author", "evaluated_year", "evaluated_pages_line"
-    )
+    return register.register(numbered, papers, provider="P")
 
 
 @query

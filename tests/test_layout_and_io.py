@@ -40,20 +40,6 @@ def test_title_and_block(spark):
     assert "Article A remarkable title about water-in-salt" in block and "Ann Lee1, Bob Ray2, and Cy Dee" in block
 
 
-def test_reference_location(spark):
-    refs = spark.createDataFrame(
-        [(1, 3, "Smith A. Full text here [J]. J, 1999.", "Smith A", "1999"), (1, 4, "Jones B. Lost entry [J]. K, 2001.", "Jones, B.", "2001"),
-         (1, 5, "Nobody X. Not there", "Nobody, X.", "1990")],
-        "doc_id bigint, ref_index int, raw_text string, first_author string, year string",
-    )
-    pages = spark.createDataFrame(
-        [(1, 0, "Smith A. Full text here [J]. J, 1999."), (1, 9, "[3] Smith A. Full text\nhere [J]. J, 1999.\n4. Jones, B., other\nwords")],
-        "doc_id bigint, page_num int, text string",
-    )
-    got = {r.ref_index: (r.page_num, r.method) for r in layout.locate_references(refs, pages).collect()}
-    assert got[3] == (9, "full_text") and got[4] == (9, "number") and got.get(5) in (None, (None, None))
-
-
 def test_english_journal_lines(spark):
     heads = {
         "Electrochem. Energy Rev. (2021) 4:1–34": ("Electrochem. Energy Rev.", "2021", "4", "1-34"),
