@@ -405,15 +405,27 @@ SELECT c.doc_id, row_number() OVER (ORDER BY c.doc_id, cand_id) AS no, coalesce(
   CASE WHEN known THEN '日本' ELSE '' END AS evaluated_country, 'P' AS provider
 FROM (SELECT *, author_name AS surname, right(tag, 1) IN ('a', 'c', 'e', 'g', 'i') AS known FROM c) c JOIN first USING (doc_id, cand_id) LEFT JOIN lined ON lined.doc_id = c.doc_id""",
     "batch_report": _R + """
-, n AS (SELECT doc_id, count(*) AS n FROM r WHERE is_journal GROUP BY 1)
+, n AS (SELECT doc_id, count(*) AS n FROM r GROUP BY 1)
 SELECT o_orderkey AS doc_id, 'paper-' || o_orderkey AS name, CASE WHEN o_orderstatus = 'P' THEN 'broken file' END AS error,
   coalesce(n, 0) AS n_records, CASE WHEN o_orderstatus = 'P' THEN 'failed' WHEN n > 0 THEN 'success' ELSE 'no_result' END AS status
 FROM orders LEFT JOIN n ON o_orderkey = doc_id""",
     "batch_summary": _R + """
-, n AS (SELECT doc_id, count(*) AS n FROM r WHERE is_journal GROUP BY 1)
+, n AS (SELECT doc_id, count(*) AS n FROM r GROUP BY 1)
 SELECT count(*) AS n_papers, count(*) FILTER (o_orderstatus <> 'P' AND n > 0) AS n_success,
   count(*) FILTER (o_orderstatus <> 'P' AND n IS NULL) AS n_no_result, count(*) FILTER (o_orderstatus = 'P') AS n_failed,
   CAST(coalesce(sum(n), 0) AS BIGINT) AS n_records FROM orders LEFT JOIN n ON o_orderkey = doc_id""",
+    "report_document": _R + """
+, n AS (SELECT doc_id, count(*) AS n, min_by(surname, ref_index) AS surname, min_by(year, ref_index) AS year FROM r GROUP BY 1),
+p AS (
+  SELECT o_orderkey AS doc_id, 'paper-' || o_orderkey AS name, CASE WHEN o_orderstatus = 'P' THEN 'failed' WHEN n > 0 THEN 'success' ELSE 'no_result' END AS status,
+    coalesce(n, 0) AS n_records, surname || ' A(' || year || ')' AS first_author FROM orders LEFT JOIN n ON o_orderkey = doc_id)
+SELECT row_number() OVER (ORDER BY CASE status WHEN 'success' THEN 0 WHEN 'no_result' THEN 1 ELSE 2 END, n_records DESC, name, doc_id) AS position,
+  doc_id, name, status, n_records, CAST(n_records AS INTEGER) AS n_items, first_author FROM p""",
+    "routed_results": _R + """
+, n AS (SELECT doc_id, count(*) AS n FROM r GROUP BY 1),
+p AS (SELECT o_orderkey AS doc_id, o_orderstatus, CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE coalesce(n, 0) END AS n FROM orders LEFT JOIN n ON o_orderkey = doc_id)
+SELECT doc_id, 'paper-' || doc_id AS name, n AS n_records, n > 0 AS has_result,
+  CASE WHEN doc_id % 4 = 0 THEN 'no_result' WHEN o_orderstatus = 'P' THEN 'failed' WHEN n > 0 THEN 'success' ELSE 'no_result' END AS status FROM p""",
     "report_items": _R + """
 SELECT doc_id, CAST(ref_index - 1 AS INTEGER) AS pos, '&lt;first&gt;' AS marker, surname || ' A(' || year || ')' AS author,
   'Sentence about Title ' || tag AS sentence FROM r""",

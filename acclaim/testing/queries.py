@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,8 +21,9 @@ from acclaim.operators.vetoes import shared_author
 from acclaim.operators.years import add_year_mentions, nearest_year
 from acclaim.plans.corpus import process
 from acclaim.plans.mining import Mined, mine
-from acclaim.session import write_stage
+from acclaim.session import scratch_folder, write_stage
 from acclaim.sources.lexicon import default_phrases
+from acclaim.sources.sinks import read_report, read_results, write_report, write_results
 from acclaim.sources.works import flat_works
 from acclaim.streaming.progress import latest_progress, progress_windows as windows_of_progress, run_progress
 from acclaim.testing import render
@@ -752,8 +754,7 @@ def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("paper-"), "o_orderkey").alias("name"),
         F.when(F.col("o_orderstatus") == "P", "broken file").alias("error"),
     )
-    recs = render.reference_rows(spark, sf_dir).filter("is_journal").select("doc_id")
-    return report.paper_results(papers, recs)
+    return report.paper_results(papers, render.reference_rows(spark, sf_dir).select("doc_id"))
 
 
 @query
@@ -766,6 +767,29 @@ def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.batch_summary(_results(spark, sf_dir))
 
 
+@query
+def report_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The written report, read back: position, counts and first item of every paper."""
+    path = f"{scratch_folder(spark)}/acclaim/report-{uuid.uuid4().hex}"
+    items = report.report_items(_final_records(spark, sf_dir).withColumn("marker", F.lit("<first>")))
+    write_report(_results(spark, sf_dir), items, path)
+    first = F.try_element_at("items", F.lit(1))
+    return read_report(spark, path).select(
+        "position", "doc_id", "name", "status", "n_records", F.greatest(F.size("items"), F.lit(0)).alias("n_items"), first["author"].alias("first_author"),
+    )
+
+
+@query
+def routed_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs: the second one finds nothing in every fourth paper and leaves the others alone."""
+    path = f"{scratch_folder(spark)}/acclaim/results-{uuid.uuid4().hex}"
+    results = _results(spark, sf_dir)
+    write_results(results, path)
+    again = results.filter("doc_id % 4 = 0").withColumns({"n_records": F.lit(0).cast("long"), "status": F.lit(report.NO_RESULT)})
+    write_results(again, path)
+    return read_results(spark, path).select("doc_id", "name", "n_records", "status", "has_result")
+
+
 @query
 def report_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = report.report_items(_final_records(spark, sf_dir).withColumn("marker", F.lit("<first>")))
@@ -923,9 +947,6 @@ def progress_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def progress_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same counts from a stream; each batch merges the windows it has changed."""
-    from acclaim.session import scratch_folder
-    import uuid
-
     schema = _table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     out = f"{scratch_folder(spark)}/acclaim/progress-{uuid.uuid4().hex}"
@@ -936,9 +957,7 @@ def progress_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def incremental_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from acclaim.session import scratch_folder
     from acclaim.streaming.incremental import run_incremental
-    import uuid
 
     root = f"{scratch_folder(spark)}/acclaim/incremental-{uuid.uuid4().hex}"
     papers = render.papers(spark, sf_dir)

@@ -87,8 +87,15 @@ def test_corpus_folder_and_verdict_files(spark, tmp_path):
 def test_sinks(spark, tmp_path):
     results = spark.createDataFrame([(1, "a", 2, "success"), (2, "b", 0, "no_result")], "doc_id bigint, name string, n_records bigint, status string")
     sinks.write_results(results, str(tmp_path / "r"))
-    sinks.write_results(results.limit(1), str(tmp_path / "r"))
-    assert spark.read.parquet(str(tmp_path / "r")).count() == 1
+    again = spark.createDataFrame([(2, "b", 5, "success"), (3, "c", 0, "no_result")], results.schema)
+    sinks.write_results(again, str(tmp_path / "r"))
+    sinks.write_results(again.limit(0), str(tmp_path / "r"))
+    found = {r.doc_id: (r.n_records, r.has_result) for r in sinks.read_results(spark, str(tmp_path / "r")).collect()}
+    assert found == {1: (2, True), 2: (5, True), 3: (0, False)}  # paper 1 is left alone, paper 2 has moved
+    assert [r.doc_id for r in sinks.read_results(spark, str(tmp_path / "r"), has_result=False).collect()] == [3]
+    sinks.write_report(results.withColumn("error", F.lit(None).cast("string")), spark.createDataFrame([(1, [("m", "a", "s")])], "doc_id bigint, items array<struct<marker:string,author:string,sentence:string>>"), str(tmp_path / "t"))
+    assert [(r.position, r.doc_id, r["items"] and r["items"][0].author) for r in sinks.read_report(spark, str(tmp_path / "t")).orderBy("position").collect()] == [(1, 1, "a"), (2, 2, None)]
+    assert spark.read.json(str(tmp_path / "t" / "summary")).first().n_success == 1
     audit = spark.createDataFrame([(1, 0, "vetoed", 9, "r", "s")], schemas.AUDIT)
     sinks.write_audit(audit, str(tmp_path / "a"))
     assert spark.read.parquet(str(tmp_path / "a")).first().stage == "vetoed"
