@@ -16,7 +16,7 @@ Only letters count: text is lowered, ASCII characters other than letters separat
 Defined results: a null text and a text without a letter are ``und`` with score 0.0 and rejected;
 without any labelled document everything is ``und``; if not one held document can be judged (a
 single word in all) nothing is rejected for its cross-entropy; repeated rows give a row each; extra columns
-are kept or ignored as asked; an empty table gives no rows; a null doc_id is never learned from.
+are kept or ignored as asked; an empty table gives no rows; a null doc_id is never learned from; of rows with one doc_id and language one text is learned from, the least.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ ORDER = 5
 FIT_DOCUMENTS = 400
 #: further labelled documents per language that the rejection is calibrated on, at most
 CALIBRATION_DOCUMENTS = 200
+#: characters of a language's sample, at most: documents of higher rank stay out once it is reached
+SAMPLE_CHARACTERS = 50_000_000
 #: characters that a model holds possible, for the uniform distribution below order 1
 ALPHABET = 10_000
 #: share of the held documents that the threshold covers without slack
@@ -44,6 +46,8 @@ QUANTILE = 0.98
 SLACK, SHORT_SLACK = 1.0, 8.0
 #: a language with fewer held documents is calibrated by leaving out one of ``FOLDS`` parts after the other
 FEW_HELD, FOLDS = 30, 3
+#: languages whose sizes are sent to every task
+MOST_GROUPS = 10_000
 #: words whose scores a worker keeps
 CACHED_WORDS = 150_000
 
@@ -158,13 +162,16 @@ def kneser_ney(lang: np.ndarray, count: np.ndarray, grams: list[np.ndarray], con
 
 
 def _lowest_ranks(rows: DataFrame, group: str, most: int) -> DataFrame:
-    """Up to ``most`` rows per group in the order of ``_hash``.
+    """Up to ``most`` ids per group in the order of ``_hash``; an id counts once, however many rows it has.
 
-    Each group is first thinned to about twice as many by its own size, so no ranking sees a large group.
+    Each group is first thinned to about twice as many by its own size, so no ranking sees a large group and
+    no id moves before that.
     """
-    sizes = rows.groupBy(group).agg(F.count("*").alias("_n"))
+    sizes = rows.groupBy(group).agg(F.approx_count_distinct("doc_id").alias("_n"))
+    # a row per group; only where there are very many groups they are left to a shuffle
+    sizes = F.broadcast(sizes) if sizes.count() <= MOST_GROUPS else sizes
     share = F.pmod("_hash", F.lit(1 << 40)) / float(1 << 40)
-    thinned = rows.join(sizes, group).withColumn("_share", share).filter(F.col("_share") * F.col("_n") < 2 * most + 100)
+    thinned = rows.join(sizes, group).withColumn("_share", share).filter(F.col("_share") * F.col("_n") < 2 * most + 100).drop("_n").distinct()
     return thinned.withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy("_share", "doc_id"))).filter(F.col("_rank") <= most)
 
 
@@ -186,6 +193,9 @@ def fit(docs: DataFrame, labelled: Column, order: int = ORDER, fit_documents: in
     cut = F.col("_lang").isin([x for x, (n, _) in sizes.items() if n < FOLDS])
     # at most (fit + calibration) rows per language
     sample = usable.join(F.broadcast(chosen), "doc_id").filter(F.col("lang") == F.col("_lang"))
+    sample = sample.groupBy("doc_id", "lang", "_lang", "_rank").agg(F.min("text").alias("text"))
+    before = F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("_rank").rowsBetween(Window.unboundedPreceding, -1))
+    sample = sample.withColumn("_before", F.coalesce(before, F.lit(0))).filter(F.col("_before") < SAMPLE_CHARACTERS)
     sample = sample.withColumn("_part", F.explode(F.when(cut, F.sequence(F.lit(0), F.lit(FOLDS - 1))).otherwise(F.array(F.lit(0)))))
     size = F.ceil(F.length("text") / FOLDS).cast("int")
     part = F.when(cut, F.substr("text", F.col("_part") * size + 1, size)).otherwise(F.col("text"))
@@ -230,16 +240,24 @@ def fit(docs: DataFrame, labelled: Column, order: int = ORDER, fit_documents: in
 
     everything = table.column("c").to_numpy()
     model = fitted(everything)
-    judged = identify(sample.filter(F.col("_fold") == FOLDS), model, keep=("lang",)).collect()  # at most calibration_documents per language
+    judged = _judged(sample.filter(F.col("_fold") == FOLDS), model)
     for i in range(FOLDS):
         # what the model of this fold is fitted on; no few documents, no folds
         left = everything - table.column(f"c{i}").to_numpy()
         if left.any() and any(held < FEW_HELD for _, held in sizes.values()):
-            judged += identify(sample.filter(F.col("_fold") == i), fitted(left), keep=("lang",)).collect()
+            judged += _judged(sample.filter(F.col("_fold") == i), fitted(left))
     model.thresholds[:] = thresholds(languages, [(r["lang"], r["lang_pred"], r["_excess"]) for r in judged if r["_excess"] is not None])
     return model
 
 
+def _judged(held: DataFrame, model: Models) -> list:
+    """What a model says of held documents, at most calibration_documents per language; the model leaves the executors."""
+    shared = held.sparkSession.sparkContext.broadcast(model)
+    found = _identified(held, shared, ("lang",)).collect()
+    shared.destroy()
+    return found
+
+
 def thresholds(languages: list[str], judged: list[tuple[str, str, float]]) -> list[float]:
     """The highest excess accepted per language, from (lang, lang_pred, excess) of held documents."""
     right: dict[str, list[float]] = {}
@@ -252,9 +270,11 @@ def thresholds(languages: list[str], judged: list[tuple[str, str, float]]) -> li
 
 def identify(docs: DataFrame, model: Models | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns with lang_pred, score (0 to 1), rejected, _bits (the cross-entropy) and _excess (less the allowance for short texts)."""
-    spark = docs.sparkSession
-    prepare(spark)
-    shared = spark.sparkContext.broadcast(model)
+    prepare(docs.sparkSession)
+    return _identified(docs, docs.sparkSession.sparkContext.broadcast(model), keep)
+
+
+def _identified(docs: DataFrame, shared, keep: tuple[str, ...]) -> DataFrame:
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join([f"`{name}` {types[name]}" for name in keep] + ["lang_pred string, score double, rejected boolean, _bits double, _excess double"])
     names = [*keep, "lang_pred", "score", "rejected", "_bits", "_excess"]

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from acclaim.llm import chat, langid, mixing
 from acclaim.llm.common import remainder
+from texts import prose
 
 SF = "/root/testdata/sf0.001"
 
@@ -248,3 +249,26 @@ def test_pipeline_of_odd_rows(spark, odd_docs, no_docs):
         for _, apply in corpus_pipeline.STAGES:
             docs = apply(spark, docs, SF)
         docs.collect()
+
+
+def test_language_sample_counts_an_id_once_and_is_bounded(spark, monkeypatch):
+    """Thousands of rows of one id must not meet each other in the sample; long texts end it."""
+    seen = {}
+    write = langid.stage
+
+    def counted(df, name):
+        out = write(df, name)
+        seen[name] = out.count()
+        return out
+
+    monkeypatch.setattr(langid, "stage", counted)
+    rows = [(5, prose(i, 30), "en") for i in range(1500)] + [(100 + i, prose(i, 40, "fr"), "fr") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, F.lit(True))
+    # one English id, cut into parts, and every French one
+    assert seen == {"language-sample": 601, "language-texts": 600 + langid.FOLDS}
+    found = langid.identify(docs, model, ("lang",)).groupBy("lang", "lang_pred").count().collect()
+    assert sorted(tuple(r) for r in found) == [("en", "en", 1500), ("fr", "fr", 600)]
+    monkeypatch.setattr(langid, "SAMPLE_CHARACTERS", 3000)
+    assert langid.fit(docs, F.lit(True)) is not None
+    assert seen["language-texts"] < 60
