@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import struct
 import uuid
+import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -142,10 +143,21 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it) and ids (little-endian u32 bytes) of every document."""
+    return _read(spark, path, "ids binary", lambda ids: ids)
+
+
+def read_token_sums(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every document, counted where its ids are read."""
+    return _read(spark, path, "ids_crc32 long", zlib.crc32)
+
+
+def _read(spark: SparkSession, path: str, column: str, made_of) -> DataFrame:
     prepare(spark)
     chunks = spark.read.schema(_CHUNKS).parquet(f"{path}/chunks")
     shards = spark.read.schema("shard int, shard_start long").parquet(f"{path}/shards")
 
+    name = column.split()[0]
+
     def read(batches):
         import pyarrow as pa
 
@@ -154,13 +166,14 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 ids = unpack_ids(payload).tobytes()
                 ends = np.cumsum(sizes)
                 starts = ends - np.asarray(sizes)
-                texts = [ids[4 * s:4 * e] for s, e in zip(starts.tolist(), ends.tolist())]
+                made = [made_of(ids[4 * s:4 * e]) for s, e in zip(starts.tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc_ids, pa.int64()), pa.array(starts + first, pa.int64()), pa.array(texts, pa.binary())], names=["doc_id", "start", "ids"]
+                    [pa.array(doc_ids, pa.int64()), pa.array(starts + first, pa.int64()), pa.array(sizes, pa.int64()), pa.array(made)],
+                    names=["doc_id", "start", "n_tokens", name],
                 )
 
     placed = chunks.join(shards, "shard").select((F.col("shard_start") + F.col("before")).alias("first"), "doc_ids", "sizes", "payload")
-    return placed.mapInArrow(read, "doc_id long, start long, ids binary")
+    return placed.mapInArrow(read, f"doc_id long, start long, n_tokens long, {column}")
 
 
 def new_path(spark: SparkSession) -> str:

@@ -83,8 +83,7 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = planes.new_path(spark)
     planes.write_token_files(table(spark, sf_dir, "documents"), path, vocabulary_path(BYTE_BPE))
-    ids = planes.read_token_files(spark, path)
-    return ids.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    return planes.read_token_sums(spark, path)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,7 +287,8 @@ LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN ende
 OP13_SQL = rf"""
 WITH turns AS (
   SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) - 1 AS pos,
-         md5(length(role) || ':' || role || text) AS digest, len(regexp_extract_all(text, '[^ 	-]+')) AS words
+         md5(length(role) || ':' || role || text) AS digest, len(regexp_extract_all(text, '[^ 	-
+]+')) AS words
   FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
 ids AS (SELECT DISTINCT conv_id, conv_id - conv_id % 20 AS base, {crc32_sql("conv_id::VARCHAR")} % 4 AS h FROM turns),
 rebuilt AS (
