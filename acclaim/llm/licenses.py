@@ -1,10 +1,15 @@
 """Licence scan by canonical digests.
 
-A text is normalised (lower case, copyright lines dropped, equivalent spellings unified,
+A text is normalised (lower case, statements of a copyright dropped, equivalent spellings unified,
 punctuation and white space folded) and its SHA-256 looked up among the digests of known licence
 texts.  Whole documents, and every line of them, are looked up; the known texts are the files of
 ``data/licenses`` with short texts and notices listed here, or the caller's table.
 
+A statement of a copyright names a year, a sign or a holder after the word: "copyright notice" and
+"COPYRIGHT HOLDERS" are words of the terms, also where a line begins with them.  A statement right
+before the opening words of some terms goes up to them, over at most two more lines that are not
+empty; any other takes the rest of its line.  So a text has one digest however it is wrapped.
+
 Defined results: null and empty texts match nothing, nor do texts that normalise to nothing;
 repeated rows give a row each; a licence that matches several lines is named once; extra columns
 are ignored; an empty table gives no rows.
@@ -22,12 +27,29 @@ from acclaim.llm.common import stage
 
 # --- fixed values: spellings held equal, as (pattern, replacement) on lower-case text ---
 SPELLINGS = (
-    ("licence", "license"), ("organisation", "organization"), ("favour", "favor"), ("honour", "honor"),
-    ("sub-license", "sublicense"), ("non-infringement", "noninfringement"), ("per cent", "percent"),
+    ("\\x{FEFF}", ""), ("licence", "license"), ("organisation", "organization"), ("favour", "favor"), ("honour", "honor"),
+    ("sub-[\\s#*/;]*license", "sublicense"), ("non-[\\s#*/;]*infringement", "noninfringement"), ("per[\\s#*/;]+cent", "percent"),
     ("https?://", ""), ("&", " and "), ("\\(c\\)|©", " copyright "),
 )
-# --- fixed values: a line that only states a copyright ---
-COPYRIGHT_LINE = r"(?md)^[^\S\n]*(?:[#*/;-]+[^\S\n]*)*(?:(?:portions[^\S\n]+)?copyright\b|all rights reserved)[^\n]*$"
+# --- fixed values: how terms open ---
+OPENINGS = (
+    "permission is hereby granted", "permission to use", "redistribution and use", "everyone is permitted", "licensed under",
+    "released under", "distributed under", "this work is", "this software is provided", "this program", "this library",
+)
+# --- fixed values: words of the terms that follow "Copyright" in a heading or sentence ---
+NOT_HOLDERS = ("Holder", "Notice", "Owner", "License", "Licence", "Law", "Act", "And", "Or", "Statement")
+_SIGN = r"(?i:copyright)[ \t]*(?:(?i:\(c\))|©|(?i:&copy;)|:|[<\[{]|\d{4})"
+_BARE_SIGN = r"©|(?i:\(c\))[ \t]*\d{4}"
+#: a statement and what lies between it and the opening of terms, which is kept
+STATEMENT_BEFORE_TERMS = (
+    rf"(?:\b{_SIGN}|{_BARE_SIGN}|\b(?i:all rights reserved))[^\n]{{0,200}}?(?:\n[^\n]{{1,200}}?){{0,2}}?[\s#*/;.-]*\b((?i:"
+    + "|".join(o.replace(" ", r"[\s#*/;-]+") for o in OPENINGS) + "))"
+)
+#: a line that only states a copyright
+COPYRIGHT_LINE = (
+    rf"(?md)^[ \t\r\f#*/;-]*(?:(?i:portions[ \t]+)?(?:{_SIGN}|Copyright[ \t]+(?:by[ \t]+)?(?!(?:{'|'.join(NOT_HOLDERS)})s?\b)[A-Z\x{{C0}}-\x{{10FFFF}}])"
+    rf"|{_BARE_SIGN}|(?i:all rights reserved)[^a-zA-Z0-9\n]*$)[^\n]*$"
+)
 
 # --- fixed values: public licence texts and the short notices that name them ---
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
@@ -65,7 +87,7 @@ Unless required by applicable law or agreed to in writing, software distributed
 "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific
 language governing permissions and limitations under the License."""
 #: whole texts, one file each, named by license and perhaps an edition
-FOLDER = Path(__file__).resolve().parents[1] / "data" / "licenses"
+FOLDER = Path(__file__).resolve().parent / "data" / "licenses"
 VERBS = ("Released under", "Licensed under", "Distributed under", "This work is licensed under")
 TITLES = {
     "MIT": ("MIT License", "MIT"),
@@ -113,7 +135,8 @@ KNOWN_TEXTS = (
 
 def canonical_lines(text: Column) -> Column:
     """The lines of a text in normal form, without those that vanish."""
-    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "")
+    marked = F.regexp_replace(text, r"^\x{FEFF}", "")
+    out = F.lower(F.regexp_replace(F.regexp_replace(marked, STATEMENT_BEFORE_TERMS, "\n$1"), COPYRIGHT_LINE, ""))
     for pattern, replacement in SPELLINGS:
         out = F.regexp_replace(out, pattern, replacement)
     folded = F.regexp_replace(out, r"[^a-z0-9\n\x{80}-\x{10FFFF}]+", " ")

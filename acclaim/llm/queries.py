@@ -161,20 +161,36 @@ def _quoted(text: str) -> str:
 
 
 def op7_sql() -> str:
-    """The canonical form as nested regular expressions, looked up for whole texts and for lines."""
-
-    def canonical(text: str) -> str:
-        # the d flag (only \n ends a line) is always on in this dialect
-        out = f"regexp_replace(lower({text}), {_quoted(licenses.COPYRIGHT_LINE.replace('(?md)', '(?m)'))}, '', 'g')"
-        for pattern, replacement in licenses.SPELLINGS:
+    """Statements cut before terms, lines that state a copyright filtered, the rest folded; looked up for whole texts and for lines."""
+    opening = "permission is hereby granted|permission to use|redistribution and use|everyone is permitted|licensed under|released under|distributed under|this work is|this software is provided|this program|this library"
+    sign = r"copyright[ \t]*(?:\(c\)|©|&copy;|:|<|\[|\{|[0-9]{4})"
+    start = rf"(?:\b{sign}|©|\(c\)[ \t]*[0-9]{{4}}|\ball rights reserved)"
+    blank = r"[ \t\r\n\x0B\f#*/;-]"
+    cut = rf"(?i){start}[^\n]{{0,200}}?(?:\n[^\n]{{1,200}}?){{0,2}}?[ \t\r\n\x0B\f#*/;.-]*\b({opening.replace(' ', blank + '+')})"
+    lead = r"^[ \t\r\f#*/;-]*"
+    stated = rf"(?i){lead}(?:(?:portions[ \t]+)?{sign}|©|\(c\)[ \t]*[0-9]{{4}}|all rights reserved[^a-z0-9]*$)"
+    holder = rf"{lead}(?i:portions[ \t]+)?Copyright[ \t]+(?:by[ \t]+)?[A-Z\x{{C0}}-\x{{10FFFF}}]"
+    term = rf"{lead}(?i:portions[ \t]+)?Copyright[ \t]+(?:by[ \t]+)?(?:Holder|Notice|Owner|License|Licence|Law|Act|And|Or|Statement)s?\b"
+    same = [
+        ("licence", "license"), ("organisation", "organization"), ("favour", "favor"), ("honour", "honor"), (r"sub-[ \t\r\n\x0B\f#*/;]*license", "sublicense"),
+        (r"non-[ \t\r\n\x0B\f#*/;]*infringement", "noninfringement"), (r"per[ \t\r\n\x0B\f#*/;]+cent", "percent"), ("https?://", ""), ("&", " and "), (r"\(c\)|©", " copyright "),
+    ]
+
+    def lines_of(text: str) -> str:
+        lines = f"string_split(regexp_replace(regexp_replace({text}, '^\\x{{FEFF}}', ''), {_quoted(cut)}, chr(10) || '\\1', 'g'), chr(10))"
+        kept = f"list_filter({lines}, lambda l: NOT (regexp_matches(l, {_quoted(stated)}) OR (regexp_matches(l, {_quoted(holder)}) AND NOT regexp_matches(l, {_quoted(term)}))))"
+        out = f"replace(lower(array_to_string({kept}, chr(10))), chr(65279), '')"
+        for pattern, replacement in same:
             out = f"regexp_replace({out}, {_quoted(pattern)}, {_quoted(replacement)}, 'g')"
-        return f"trim(regexp_replace({out}, '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]+', ' ', 'g'))"
+        folded = f"string_split(regexp_replace({out}, '[^a-z0-9\\n\\x{{80}}-\\x{{10FFFF}}]+', ' ', 'g'), chr(10))"
+        return f"list_filter(list_transform({folded}, lambda l: trim(l)), lambda l: l <> '')"
 
     texts = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in licenses.KNOWN_TEXTS)
     return f"""
-WITH known AS (SELECT form, min(license) AS license FROM (SELECT license, {canonical('text')} AS form FROM (VALUES {texts}) t(license, text)) WHERE form <> '' GROUP BY form),
-docs AS (SELECT row_number() OVER () AS row_no, doc_id, text, nullif({canonical('text')}, '') AS form FROM documents),
-lines AS (SELECT row_no, {canonical('line')} AS form FROM (SELECT row_no, unnest(string_split(text, chr(10))) AS line FROM docs)),
+WITH known AS (SELECT form, min(license) AS license
+               FROM (SELECT license, array_to_string({lines_of('text')}, ' ') AS form FROM (VALUES {texts}) t(license, text)) WHERE form <> '' GROUP BY form),
+docs AS (SELECT *, nullif(array_to_string(parts, ' '), '') AS form FROM (SELECT row_number() OVER () AS row_no, doc_id, {lines_of('text')} AS parts FROM documents)),
+lines AS (SELECT row_no, unnest(parts) AS form FROM docs),
 found AS (SELECT row_no, string_agg(DISTINCT license, ',' ORDER BY license) AS line_licenses, count(*) AS n FROM lines JOIN known USING (form) GROUP BY row_no)
 SELECT doc_id, sha256(docs.form) AS digest, license, coalesce(line_licenses, '') AS line_licenses, CAST(coalesce(n, 0) AS BIGINT) AS n_license_lines
 FROM docs LEFT JOIN known USING (form) LEFT JOIN found USING (row_no)"""

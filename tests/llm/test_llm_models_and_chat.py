@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -179,6 +180,35 @@ in the documentation and/or other materials provided with the distribution.\n\n"
     assert [got[i] for i in range(len(texts))] == list(texts)
 
 
+@pytest.mark.parametrize("width", [50, 60, 72, 80, 100, 120, None])
+def test_licenses_are_named_however_they_are_wrapped(spark, width):
+    from acclaim.llm import licenses
+
+    def wrapped(text):
+        if width is None:
+            return " ".join(text.split())
+        return "\n\n".join(textwrap.fill(" ".join(p.split()), width, break_long_words=False) for p in re.split(r"\n[ \t]*\n", text))
+
+    rows = []
+    for name, text in licenses.KNOWN_TEXTS:
+        stated = re.sub(r"\A(.*Licen[sc]e.*\n)?(?=Permission |Redistribution |This software is provided)", r"\1Copyright © 2020 Some Body <some@body.org>\nAll rights reserved.\n\n", text, count=1)
+        rows += [(name, form) for form in (wrapped(text), "\ufeff" + wrapped(stated), "# " + wrapped(stated).replace("\n", "\n# "))]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.license for r in licenses.scan(docs, licenses.known_digests(spark)).collect()}
+    assert [(rows[i][0], rows[i][1][:300]) for i in range(len(rows)) if got[i] != rows[i][0]] == []
+
+
+def test_words_of_the_terms_are_no_copyright_statements(spark):
+    from acclaim.llm import licenses
+
+    texts = ["copyright notice and this permission\nb", "COPYRIGHT HOLDERS BE LIABLE\nb", "Copyright Holders\nb", "Copyright Some Body\nb", "copyright (c) some body\nb",
+             "// Portions Copyright 1999-2001 X\nb", "© 2020 X\nb", "All rights reserved.\nb", "all rights reserved to nobody\nb", "-" * 5000 + "\nb"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = [r.l for r in docs.orderBy("doc_id").select(licenses.canonical_lines(F.col("text")).alias("l")).collect()]
+    assert got == [["copyright notice and this permission", "b"], ["copyright holders be liable", "b"], ["copyright holders", "b"], ["b"], ["b"], ["b"], ["b"], ["b"],
+                   ["all rights reserved to nobody", "b"], ["b"]]
+
+
 # --- chat ------------------------------------------------------------------------------
 
 
