@@ -8,7 +8,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from acclaim.llm import langid, lzprint, mixing
+from acclaim.llm.common import remainder
+from test_llm_near_and_shared_text import brute_contamination, brute_simhash, components
 from texts import prose
 
 # --- phrase fingerprints ---------------------------------------------------------------
@@ -193,3 +196,43 @@ def test_ways_equal_plain_expectation_maximisation(spark):
             floor = [max(a / sum(took), 1e-3) for a in took]
             want[kind] = [a / sum(floor) for a in floor]
     assert np.allclose(got, want)
+
+
+# --- pipeline --------------------------------------------------------------------------
+
+
+def test_pipeline_equals_plain_stages(spark, odd_rows, tokenizer, tmp_path):
+    passage = prose(777, 30) + " " + prose(778, 20, "fr")
+    rows = [*odd_rows, (300, "river " + passage + " house", "en"), (301, prose(12, 900) + " " + passage[:60], "en"), (302, odd_rows[-1][1], "en"), (303, odd_rows[-1][1] + " ", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("i", passage), ("j", None)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    judged = langid.identify(docs, langid.fit(docs, remainder(F.col("doc_id"), 5) != 0), ("doc_id", "text")).collect()
+    kept = [(r.doc_id, r.text) for r in judged if not r.rejected]
+    assert {1, 2, 3, 4}.isdisjoint(d for d, _ in kept) and len(kept) > 40
+    prints = {t: brute_simhash(t) for _, t in kept}
+    label = components(sorted(set(prints.values())), 4)
+    classes = defaultdict(list)
+    for d, t in kept:
+        classes[label[prints[t]]].append((d is None, d or 0, t))
+    kept = [(None if null else d, t) for null, d, t in map(min, classes.values())]
+    hit = {key[0] for key in brute_contamination(kept, [("i", passage), ("j", None)]) if key[4]}
+    assert 300 in hit
+    kept = {d: t for d, t in kept if d not in hit}
+    sequences, pieces = defaultdict(list), defaultdict(list)
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        pieces[r.doc_id].append((r.piece, r.start, r.length))
+        sequences[r.sequence_id].append((r.offset, r.length))
+    assert pieces.keys() == kept.keys()
+    for d, parts in pieces.items():
+        at = 0
+        for i, (piece, start, length) in enumerate(sorted(parts)):
+            assert (piece, start) == (i, at)
+            at += length
+        assert at == len(tokenizer.encode(kept[d], add_special_tokens=False).ids) + 1
+    for placed in sequences.values():
+        at = 0
+        for offset, length in sorted(placed):
+            assert offset == at
+            at += length
+        assert at <= 2048
