@@ -238,3 +238,8 @@ def first_json_object(text: Column) -> Column:
         return F.when(F.length(tail) > 0, F.coalesce(let(pieces, cut), to_last, tail))
 
     return F.coalesce(let(F.regexp_extract(bare, r"(?s)(\{.*)$", 1), from_brace), bare)
+
+
+def quoted_part(text: Column, length: int | None) -> Column:
+    """The first ``length`` characters, or the whole text where no length is given."""
+    return text if length is None else F.substring(text, 1, length)

@@ -398,6 +398,9 @@ SELECT doc_id, names AS authors, c_name AS first_author, 'Ann Other' AS other_au
   GROUP BY doc_id, text, first_author, year)
 SELECT doc_id, cand_id, text AS sentence, CASE marker WHEN 'first reported' THEN 'first' ELSE 'originally' END AS marker, authors, first_author,
   'Title ' || tag AS title, 'Journal J' AS journal, year, volume, '10-20' AS pages FROM c JOIN first USING (doc_id, cand_id)""",
+    "verify_batches": _C + _KEPT + """
+SELECT doc_id, CAST((cand_id - 1) // 2 AS INTEGER) AS batch_no, count(*) AS n_records,
+  string_agg('[' || cand_id || '] ' || substring(text, 1, 300), chr(10) ORDER BY cand_id) AS request FROM c JOIN first USING (doc_id, cand_id) GROUP BY 1, 2""",
     "process_corpus": _with(_REF_SRC, _SENT, _OUTCOME, _CANDIDATES, _META) + _KEPT + """
 SELECT c.doc_id, row_number() OVER (ORDER BY c.doc_id, cand_id) AS no, coalesce(title, '') AS reviewing_title, text AS sentence,
   CASE marker WHEN 'first reported' THEN 'first' ELSE 'originally' END AS marker, surname || ' A' AS evaluated_first_author, 'Title ' || tag AS evaluated_title,

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from acclaim import fixed
 from acclaim.functions import citations as C
 from acclaim.functions import names as N
 from acclaim.functions import text as T
@@ -74,7 +75,7 @@ def candidate_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def veto_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mined(spark, sf_dir).audit().drop("reason")
+    return _mined(spark, sf_dir).audit(fixed.AUDIT_QUOTE).drop("reason")
 
 
 @query
@@ -420,7 +421,7 @@ def _rendered_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def judge_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verdicts.judge_requests(_rendered_candidates(spark, sf_dir), size=2)
+    return verdicts.judge_requests(_rendered_candidates(spark, sf_dir), size=2, quote=fixed.JUDGE_QUOTE)
 
 
 def _rendered_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -717,15 +718,25 @@ def reviewing_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assemble.reviewing_papers(_paper_meta(spark, sf_dir))
 
 
-@query
-def assembled_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = verdicts.accepted(verdicts.join_verdicts(
         _mined(spark, sf_dir).candidates(),
         render.reference_rows(spark, sf_dir).select(
             "doc_id", F.col("ref_index").alias("cand_id"), (F.col("ref_index") % 2 == 1).alias("accept"), F.lit("x").alias("reason")
         ),
     ))
-    return assemble.assemble_records(judged).select(
+    return assemble.assemble_records(judged)
+
+
+@query
+def verify_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verification requests over the assembled records, two candidates to a batch."""
+    return verdicts.verify_requests(_assembled(spark, sf_dir), size=2, quote=fixed.VERIFY_QUOTE)
+
+
+@query
+def assembled_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _assembled(spark, sf_dir).select(
         "doc_id", "cand_id", "sentence", "marker", F.array_join("authors", "; ").alias("authors"), "first_author", "title",
         "journal", "year", "volume", "pages",
     )
@@ -771,7 +782,7 @@ def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def report_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The written report, read back: position, counts and first item of every paper."""
     path = f"{scratch_folder(spark)}/acclaim/report-{uuid.uuid4().hex}"
-    items = report.report_items(_final_records(spark, sf_dir).withColumn("marker", F.lit("<first>")))
+    items = report.report_items(_final_records(spark, sf_dir).withColumn("marker", F.lit("<first>")), quote=fixed.REPORT_QUOTE)
     write_report(_results(spark, sf_dir), items, path)
     first = F.try_element_at("items", F.lit(1))
     return read_report(spark, path).select(
@@ -792,7 +803,7 @@ def routed_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def report_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = report.report_items(_final_records(spark, sf_dir).withColumn("marker", F.lit("<first>")))
+    listed = report.report_items(_final_records(spark, sf_dir).withColumn("marker", F.lit("<first>")), quote=fixed.REPORT_QUOTE)
     return listed.select("doc_id", F.posexplode("items").alias("pos", "i")).select(
         "doc_id", "pos", F.col("i.marker").alias("marker"), F.col("i.author").alias("author"), F.col("i.sentence").alias("sentence")
     )
