@@ -17,6 +17,7 @@ from acclaim.functions.once import let
 from acclaim.functions.spans import SPAN, literal_spans, overlaps, running_starts, union_spans
 from acclaim.operators.evidence import clauses, longest_first
 from acclaim.operators.layout import assign_columns, grow_reference, lines_between, page_columns
+from acclaim.session import write_stage
 
 # fixed values: how far from a number or a surname the other part of a reference may be, in points
 _ABOVE, _BELOW_NUMBER, _BELOW_NAME, _LEFT = 3.0, 20.0, 50.0, 10.0
@@ -55,6 +56,12 @@ def _wanted(refs: DataFrame, most_clauses: int | None) -> DataFrame:
     return prepared.groupBy("doc_id").agg(F.collect_list(item).alias("refs"))
 
 
+def _may_be_found(text: Column, r: Column) -> Column:
+    """False only where no step of ``_found`` can succeed: all of them need one of these texts on the page."""
+    held = lambda name: F.exists(r[name], lambda p: F.contains(text, p))
+    return ((F.length(r["surname"]) > 0) & F.contains(text, r["surname"])) | held("parts") | held("clauses") | ((F.length(r["raw"]) > 0) & F.contains(text, r["raw"]))
+
+
 def _found(text: Column, lines: Column, r: Column) -> Column:
     """(method, spans) of the first way in which a reference is found on a page, or null."""
     none = F.array().cast(f"array<{SPAN}>")
@@ -97,7 +104,8 @@ def locate_references(refs: DataFrame, lines: DataFrame, last_pages: int | None
         last = lines.groupBy("doc_id").agg(F.max("page_num").alias("_last"))
         pages = pages.join(last, "doc_id").filter(F.col("page_num") > F.col("_last") - last_pages).drop("_last")
     met = pages.join(_wanted(refs, most_clauses), "doc_id")
-    hit = F.transform("refs", lambda r: let(_found(F.col("text"), F.col("lines"), r), lambda f: F.struct(
+    likely = F.filter("refs", lambda r: _may_be_found(F.col("text"), r))
+    hit = F.transform(likely, lambda r: let(_found(F.col("text"), F.col("lines"), r), lambda f: F.struct(
         r["ref_index"].alias("ref_index"), f["method"].alias("method"), F.array_min(f["spans"])["start"].alias("start"), F.array_max(F.transform(f["spans"], lambda s: s["end"])).alias("end"),
         F.transform(
             F.filter("lines", lambda l: F.exists(f["spans"], lambda s: overlaps(l, s))),
@@ -113,7 +121,9 @@ def reference_boxes(located: DataFrame, lines: DataFrame) -> DataFrame:
     """(doc_id, ref_index, page_num, method, x0, y0, x1, y1): the line boxes of whole references.
 
     A hit that only says where a reference begins grows by three line heights within its column.
+    Hits and grown boxes are written once, because each is read several times.
     """
+    located = write_stage(located, "located")
     kept = ["doc_id", "ref_index", "page_num", "method"]
     box = ["x0", "y0", "x1", "y1"]
     whole = located.filter(F.col("method").isin(*WHOLE)).select(*kept, F.inline("boxes"))
@@ -123,9 +133,9 @@ def reference_boxes(located: DataFrame, lines: DataFrame) -> DataFrame:
         *kept, F.col("ref_index").alias("anchor_id"), F.col("boxes")[0]["x0"].alias("x0"), edge("y0", F.array_min), edge("x1", F.array_max), edge("y1", F.array_max)
     )
     # only the pages that hold an anchor have their lines joined
-    near = lines.join(anchors.select("doc_id", "page_num").distinct(), ["doc_id", "page_num"], "left_semi")
+    near = write_stage(lines.join(anchors.select("doc_id", "page_num").distinct(), ["doc_id", "page_num"], "left_semi"), "near")
     grown = lines_between(grow_reference(anchors), near, page_columns(near))
-    grown = grown.join(anchors.select(*kept, "anchor_id"), ["doc_id", "page_num", "anchor_id"]).select(*kept, *box)
+    grown = write_stage(grown.join(anchors.select(*kept, "anchor_id"), ["doc_id", "page_num", "anchor_id"]).select(*kept, *box), "grown")
     # an anchor that no line of its column holds stays as it is
     alone = begun.join(grown.select("doc_id", "ref_index").distinct(), ["doc_id", "ref_index"], "left_anti").select(*kept, F.inline("boxes"))
     return whole.unionByName(grown).unionByName(alone)

@@ -49,6 +49,15 @@ def test_a_hit_without_lines_in_its_column_keeps_its_own_box(spark):
     assert [(r.x0, r.y0, r.x1) for r in found] == [(50.0, 400.0, 560.0)]
 
 
+def test_boxes_locate_references_once(spark):
+    lines = spark.createDataFrame([(1, 0, 50.0, 60.0, 250.0, 70.0, "[8] Doe D. A title of some length")], LINES)
+    refs = spark.createDataFrame([(1, 8, "unlike", "Doe, D.", "1990")], REFS)
+    boxes = locate.reference_boxes(locate.locate_references(refs, lines), lines)
+    # the search over page texts is read from a written table, not repeated for every use of its hits
+    assert "collect_list" not in boxes._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.ref_index, r.method, r.y0) for r in boxes.collect()] == [(8, "number", 60.0)]
+
+
 def test_line_components_follow_each_other(spark):
     row = spark.createDataFrame([("2020 Vision, 2020, 7(7): 7-9.",)], "line string").select(
         evidence.line_components(F.col("line"), journal=F.lit("2020 Vision"), year=F.lit("2020"), volume=F.lit("7"), missing=F.lit("x"), none=F.lit(None).cast("string"), issue=F.lit("7"), pages=F.lit("7-9")).alias("c"),
