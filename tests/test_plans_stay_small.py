@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from acclaim.functions.spans import find_all
 from acclaim.operators import references
+from acclaim.operators.markers import Lexicon, add_marker_hits
 
 
 def _optimized(df) -> str:
@@ -15,3 +17,14 @@ def test_an_entry_is_matched_once_for_its_numbers(spark):
     parsed = references.parse_entries(entries.repartition(1))
     assert _optimized(parsed).count("[^.;]*?))?") == 1
     assert [(r["volume"], r["pages"], r["year"]) for r in parsed.orderBy("ref_index").collect()] == [("12", "10-20", "1999")] * 2
+
+
+def test_walks_append_and_phrases_share_their_beginnings(spark):
+    text = spark.range(1).select(F.lit("a1 b2").alias("t")).repartition(1)
+    walked = text.select(find_all(F.col("t"), r"\w\d").alias("hits"))
+    assert "array_append" in _optimized(walked) and "concat(" not in _optimized(walked)
+    assert [h["start"] for h in walked.first()["hits"]] == [0, 3]
+    small = Lexicon((("first used", "en", 1, False), ("first seen", "en", 2, False), ("found", "en", 3, True)))
+    assert "(?:f(?:i(?:" in small.gate()
+    hits = add_marker_hits(spark.createDataFrame([(1, 0, "First seen, found, first usedx")], "doc_id long, sent_idx int, text string"), small)
+    assert [m["marker"] for m in hits.first()["markers"]] == ["First seen", "found"]
