@@ -182,3 +182,25 @@ def test_neighbours_with_gaps_and_repeats(spark):
         assert sorted(got, key=str) == sorted([
             (1, 0, "a", "", "b"), (1, 2, "b", "a", "c"), (1, 2, "c", "b", "d"), (1, 3, "d", "c", ""), (1, 9, None, "d", ""), (2, 5, "x", "", ""), (None, 1, "n", "", ""),
         ], key=str)
+
+
+def test_matches_are_cut_without_patterns(spark):
+    """A pattern that cuts chunks is compiled again for every chunk; one character is not."""
+    from acclaim.functions import spans
+
+    row = spark.createDataFrame([("ab12cd3",)], "t string")
+    found = row.select(spans.find_all(F.col("t"), r"([a-z])(\d)?", [("a", 1), ("d", 2)]).alias("h"))
+    assert [tuple(h) for h in found.first().h] == [(0, 1, "a", "a", ""), (1, 3, "b1", "b", "1"), (4, 5, "c", "c", ""), (5, 7, "d3", "d", "3")]
+    assert f"[{spans._GROUP}" not in found._jdf.queryExecution().toString()
+
+
+def test_gates_keep_what_the_patterns_find(spark):
+    rows = [
+        (0, "(see Smith et al., 2020) and O'Neil, 1999 [2,4-6]."), (1, "文[,] without a digit"), (2, "文[3]中 B (1999)"),
+        (3, "Lee [7] used it in the 1980s."), (4, "(1999) and (open, 2001 Smith"),
+    ]
+    base = spark.createDataFrame(rows, "i int, text string")
+    got = {r.i: r for r in add_year_mentions(add_author_mentions(base)).collect()}
+    assert [a.name for a in got[0].authors][0] == "Smith" and [y.year for y in got[0].years] == ["2020", "1999"]
+    assert got[1].years == [] and [y.year for y in got[2].years] == ["ref", "1999"]
+    assert [(a.name, a.ref_numbers) for a in got[3].authors] == [("Lee", [7])] and [y.year for y in got[3].years] == ["1980s"]
