@@ -16,7 +16,7 @@ from acclaim import fixed, schemas
 from acclaim.functions import citations as C
 from acclaim.functions import names as N
 from acclaim.functions import text as T
-from acclaim.functions.once import with_once
+from acclaim.functions.once import let, with_each_once, with_once
 from acclaim.operators.enrich import country_of
 from acclaim.sources.gazetteer import Gazetteer
 
@@ -101,6 +101,9 @@ _PARTS = {
     "issue": r"(?<issue>\d+)", "range": r"(?<pages>[A-Z]?\d+[–-][A-Z]?\d+)", "article": r"(?<pages>[A-Za-z]?\d+)(?!\d|[–-])",
 }
 
+_HEAD_FIELDS = ("journal", "year", "volume", "issue", "pages")
+_FIELD_END = "\x1f"
+
 
 def _head_pattern(layout: str) -> tuple[str, list[str]]:
     """A layout as a line pattern, with the order of its fields."""
@@ -121,15 +124,29 @@ def _head_pattern(layout: str) -> tuple[str, list[str]]:
     return re.sub(r"\?<\w+>", "", pattern), fields
 
 
-def english_journal_line(heads: Column) -> dict[str, Column]:
-    """Journal, year, volume, issue, pages from the first running head of a known layout; else a year in parentheses."""
-    out: dict[str, Column] = {f: F.lit(None).cast("string") for f in ("journal", "year", "volume", "issue", "pages")}
-    for layout in reversed(RUNNING_HEADS):
+def _running_head(heads: Column) -> Column:
+    """Journal, year, volume, issue, pages (an array, empty where not given) of the first known layout that fits; null if none does.
+
+    A layout is looked for once, and its fields are read in one go from the text that begins where it fits.
+    """
+
+    def read(layout: str) -> Column:
         pattern, fields = _head_pattern(layout)
-        fits = heads.rlike(pattern)
-        for field, below in out.items():
-            here = _found(heads, pattern, fields.index(field) + 1) if field in fields else F.lit(None).cast("string")
-            out[field] = F.when(fits, here).otherwise(below)
+        whole = pattern + "(?s:.*)"
+        # no field can hold the separator
+        row = _FIELD_END.join(f"${fields.index(f) + 1}" if f in fields else "" for f in _HEAD_FIELDS)
+        return let(F.regexp_extract(heads, whole, 0), lambda text: F.when(text != "", F.split(F.regexp_replace(text, whole, row), _FIELD_END)))
+
+    return F.coalesce(*[read(layout) for layout in RUNNING_HEADS])
+
+
+def english_journal_line(heads: Column, head: Column | None = None) -> dict[str, Column]:
+    """Journal, year, volume, issue, pages from the first running head of a known layout; else a year in parentheses.
+
+    ``head``: the running head of ``heads``, where it has been read before.
+    """
+    head = _running_head(heads) if head is None else head
+    out = {f: F.nullif(T.strip(head[i]), F.lit("")) for i, f in enumerate(_HEAD_FIELDS)}
     out["journal"], out["pages"] = T.squeeze(out["journal"]), C.plain_dashes(out["pages"])
     out["year"] = F.coalesce(out["year"], _found(heads, r"\((\d{4})\)"))
     return out
@@ -140,9 +157,8 @@ def page_heads(pages: DataFrame, lines: int = 2) -> DataFrame:
 
     ``pages``: doc_id, page_num, text.  Running heads and feet stand there.
     """
-    shown = _lines(F.col("text"))
-    foot = F.slice(shown, -F.least(F.size(shown), F.lit(lines)), F.lit(lines))
-    part = F.when(F.size(shown) == 0, "").when(F.col("page_num") == 0, F.array_join(foot, "\n")).otherwise(F.array_join(F.slice(shown, 1, lines), "\n"))
+    first = lambda shown: F.when(F.col("page_num") == 0, F.greatest(F.size(shown) - lines, F.lit(0)) + 1).otherwise(1)
+    part = let(_lines(F.col("text")), lambda shown: F.array_join(F.slice(shown, first(shown), F.lit(lines)), "\n"))
     # four short texts a paper
     few = pages.filter(F.col("page_num").between(0, 3)).select("doc_id", "page_num", part.alias("part"))
     ordered = F.array_sort(F.collect_list(F.struct("page_num", "part")))
@@ -187,32 +203,42 @@ def chinese_metadata(texts: DataFrame) -> DataFrame:
 
 def clean_institution(text: Column) -> Column:
     """One line without an e-mail at its end; section headings are rejected."""
-    line = T.squeeze(F.regexp_replace(text, r"[\w.-]+@[\w.-]+\s*$", ""))
-    heading = F.lower(F.regexp_extract(line, r"^(\S+)", 1)).isin(*fixed.SECTION_WORDS)
-    return F.when(~heading & (line != ""), line)
+    heading = lambda line: F.lower(F.regexp_extract(line, r"^(\S+)", 1)).isin(*fixed.SECTION_WORDS)
+    return let(T.squeeze(F.regexp_replace(text, r"[\w.-]+@[\w.-]+\s*$", "")), lambda line: F.when(~heading(line) & (line != ""), line))
+
+
+_BLOCK_END = r"^(?:\d+\s*[A-Z]|Received|\*|https?://)"
+
+
+def _closed_block(opened: Column) -> Column:
+    """The first of these lines and those below it up to the end of its block; null without an end."""
+    rest = _from(opened, F.lit(1))
+    block = lambda end: F.array_join(F.concat(F.slice(opened, 1, 1), F.slice(opened, 2, end)), " ")
+    return let(_place(rest, _BLOCK_END), lambda end: F.when(end < F.size(opened) - 1, block(end)))
 
 
 def institution_ladder(text: Column) -> Column:
     """Affiliation 1: a line that starts with its number, lines up to affiliation 2, or the first line that names an institution."""
-    lines = _lines(text)
-    numbered = F.get(F.filter(lines, lambda x: x.rlike(r"^1[\t ]+\S")), F.lit(0))
-    opened = _from(lines, _place(lines, r"^1\s*[A-Z][A-Za-z]"))
-    rest = _from(opened, F.lit(1))
-    block = F.concat(F.slice(opened, 1, 1), F.slice(rest, 1, _place(rest, r"^(?:\d+\s*[A-Z]|Received|\*|https?://)")))
-    closed = _place(rest, r"^(?:\d+\s*[A-Z]|Received|\*|https?://)") < F.size(rest)
-    named = F.get(F.filter(lines, lambda x: x.rlike(rf"(?i){'|'.join(fixed.INSTITUTION_WORDS)}")), F.lit(0))
-    return F.coalesce(
-        clean_institution(F.regexp_replace(numbered, r"^1[\t ]+", "")),
-        F.when(closed & (F.size(opened) > 0), clean_institution(F.regexp_replace(F.array_join(block, " "), r"^1\s*", ""))),
-        F.when(F.length(named) > 10, clean_institution(named)),
-    )
+
+    def ladder(lines: Column) -> Column:
+        numbered = F.get(F.filter(lines, lambda x: x.rlike(r"^1[\t ]+\S")), F.lit(0))
+        opened = let(_place(lines, r"^1\s*[A-Z][A-Za-z]"), lambda first: _from(lines, first))
+        block = let(opened, _closed_block)
+        named = F.get(F.filter(lines, lambda x: x.rlike(rf"(?i){'|'.join(fixed.INSTITUTION_WORDS)}")), F.lit(0))
+        return F.coalesce(
+            clean_institution(F.regexp_replace(numbered, r"^1[\t ]+", "")), clean_institution(F.regexp_replace(block, r"^1\s*", "")),
+            let(named, lambda line: F.when(F.length(line) > 10, clean_institution(line))),
+        )
+
+    return let(_lines(text), ladder)
 
 
 def english_metadata(texts: DataFrame, gazetteer: Gazetteer | None = None) -> DataFrame:
     """``texts``: doc_id, full_text, first_page; optional title and authors from the layout, heads from ``page_heads``."""
     first = F.col("first_page")
     heads = F.concat_ws("\n", first, F.col("heads")) if "heads" in texts.columns else first
-    line = english_journal_line(heads)
+    texts = with_each_once(texts, _heads=heads, _head=_running_head(heads))
+    line = english_journal_line(F.col("_heads"), F.col("_head"))
     title = F.col("title") if "title" in texts.columns else F.lit(None).cast("string")
     authors = F.col("authors") if "authors" in texts.columns else F.lit(None).cast("array<string>")
     # the country is looked for many times in it, so it is evaluated before

@@ -1,10 +1,15 @@
 """Expensive patterns stand once in a plan: lambdas and nested columns would repeat them for every use."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from acclaim.functions.spans import find_all
 from acclaim.operators import references
+from acclaim.operators.enrich import country_of
 from acclaim.operators.markers import Lexicon, add_marker_hits
+from acclaim.operators.papers import english_metadata
+from acclaim.sources.gazetteer import Gazetteer
 from acclaim.sources.verdicts import parse_verdicts
 
 
@@ -37,3 +42,30 @@ def test_a_response_is_read_once(spark):
     answers = parse_verdicts(rows)
     assert _optimized(answers).count("from_json(") == 1
     assert [(r["doc_id"], r["cand_id"], r["accept"], r["reason"]) for r in answers.collect()] == [(1, 1, False, "}{")]
+
+
+def test_a_running_head_is_found_once_and_read_once(spark):
+    texts = [
+        (1, "On salt\n1 Some School, Lyon, France\n2 Other\nSmith et al., 2020, Cell Reports 7, 10-34\nHeliyon 9 (2019) e1"),
+        (2, "On salt\nDepartment of X, Georgia Tech, Atlanta, USA\nHeliyon 𝒜\nHeliyon 9 (2019) e06955"), (3, "Nothing (1987)"), (4, None),
+    ]
+    rows = spark.createDataFrame([(i, t, t) for i, t in texts], "doc_id long, full_text string, first_page string").repartition(1)
+    meta = english_metadata(rows)
+    # the title of the journal stands once in each of the five layouts, which are searched once and read once
+    assert _optimized(meta).count("[a-z]?[A-Z]") <= 10
+    got = {r["doc_id"]: (r["journal_en"], r["year"], r["volume"], r["issue"], r["pages"], r["institution_en"], r["country"]) for r in meta.collect()}
+    assert got == {
+        1: ("Cell Reports", "2020", "7", None, "10-34", "Some School, Lyon, France", "法国"), 2: ("Heliyon", "2019", "9", None, "e06955", "Department of X, Georgia Tech, Atlanta, USA", "美国"),
+        3: (None, "1987", None, None, None, None, None), 4: (None,) * 7,
+    }
+
+
+def test_countries_are_looked_for_by_halves(spark):
+    default = Gazetteer.default()
+    places = spark.createDataFrame([(f"Lab of {k}, Institute", c) for c, k in default.rows], "place string, country string").repartition(1)
+    found = places.select("place", country_of(F.col("place"), last_part=False).alias("found"))
+    want = {}
+    for place, _ in {(f"Lab of {k}, Institute", c) for c, k in default.rows}:
+        fits = lambda k: re.search(k if re.search("[一-鿿]", k) else rf"(?<!\w){re.escape(k)}(?!\w)", place, re.I)  # noqa: E731, B023
+        want[place] = next(c for c, k in default.rows if fits(k))
+    assert {r["place"]: r["found"] for r in found.collect()} == want
