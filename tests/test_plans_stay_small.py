@@ -5,7 +5,8 @@ import re
 from pyspark.sql import functions as F
 
 from acclaim.functions.spans import find_all
-from acclaim.operators import references
+from acclaim import schemas
+from acclaim.operators import evidence, references, register
 from acclaim.operators.enrich import country_of
 from acclaim.operators.markers import Lexicon, add_marker_hits
 from acclaim.operators.papers import english_metadata
@@ -69,3 +70,25 @@ def test_countries_are_looked_for_by_halves(spark):
         fits = lambda k: re.search(k if re.search("[一-鿿]", k) else rf"(?<!\w){re.escape(k)}(?!\w)", place, re.I)  # noqa: E731, B023
         want[place] = next(c for c, k in default.rows if fits(k))
     assert {r["place"]: r["found"] for r in found.collect()} == want
+
+
+def test_a_name_of_the_register_is_abbreviated_once(spark):
+    """Every control character goes, whether the record or its paper holds it, and names stand once in the plan."""
+    schema = "doc_id long, no long, sentence string, marker string, authors array<string>, first_author string, other_authors string, title string, journal string, year string, volume string, issue string, pages string, institution string, country string, other_refs_info string"
+    rows = [
+        (1, 1, "a\tb\x07c\n", "first", ["Oleg Borodin", "Ann\x01 Lee"], "Oleg Borodin", None, "T", None, "1999", "1", "2", "3-4", None, "X", ""),
+        (2, 2, "clean", "first", [], "Ann Lee", "Bob Ray", "T\x0b", "J", None, None, None, None, "I", None, ""),
+        (3, 3, "clean", "first", None, None, "Bob Ray", "T", "J", None, None, None, None, "I", None, ""),
+    ]
+    papers = spark.createDataFrame([(1, "On\x02 salt")], "doc_id long, title_en string")
+    for c, kind in (x.strip().split(" ") for x in schemas.PAPERS.split(", ")):
+        if c not in papers.columns:
+            papers = papers.withColumn(c, F.lit(None).cast(kind))
+    out = register.register(spark.createDataFrame(rows, schema).repartition(1), papers, provider="P\x03")
+    assert _optimized(out).count("CASE WHEN (trim(") <= 4
+    got = [tuple(r) for r in out.orderBy("no").collect()]
+    assert all(v is not None and not re.search(r"[\x00-\x09\x0b\x0c\x0e-\x1f]", str(v)) for r in got for v in r)
+    by = [dict(zip(out.columns, r)) for r in got]
+    assert [r["sentence"] for r in by] == ["abc\n", "clean", "clean"] and by[0]["reviewing_title"] == "On salt" and by[0]["provider"] == "P"
+    assert [r["evaluated_first_author"] for r in by] == ["Borodin O", "Lee A", ""] and [r["evaluated_other_authors"] for r in by] == ["Lee A", "Ray B", "Ray B"]
+    assert by[0]["evaluated_citation"] == "Borodin O, Lee A. T[J]. 1999, 1(2): 3-4." and by[1]["evaluated_citation"] == "Lee A. T[J]. J,."
