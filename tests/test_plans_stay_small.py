@@ -92,3 +92,13 @@ def test_a_name_of_the_register_is_abbreviated_once(spark):
     assert [r["sentence"] for r in by] == ["abc\n", "clean", "clean"] and by[0]["reviewing_title"] == "On salt" and by[0]["provider"] == "P"
     assert [r["evaluated_first_author"] for r in by] == ["Borodin O", "Lee A", ""] and [r["evaluated_other_authors"] for r in by] == ["Lee A", "Ray B", "Ray B"]
     assert by[0]["evaluated_citation"] == "Borodin O, Lee A. T[J]. 1999, 1(2): 3-4." and by[1]["evaluated_citation"] == "Lee A. T[J]. J,."
+
+
+def test_verification_reads_the_records_once(spark):
+    papers = spark.createDataFrame([(1, "Aa b. Cc\nd."), (2, "other"), (4, None), (5, "x y"), (5, "z")], "doc_id long, full_text string")
+    rows = [(1, 1, "Cc d."), (1, 2, "not there"), (1, 3, None), (1, None, "not there"), (2, 1, "other"), (2, 1, "gone"), (3, 1, "no paper"), (4, 1, "no text"), (5, 1, "x y"), (None, 1, "s")]
+    records = spark.createDataFrame(rows, "doc_id long, cand_id int, sentence string").repartition(2)
+    kept = evidence.verify_records(records, papers)
+    assert kept.columns == records.columns and _optimized(kept).count("LogicalRDD") == 2
+    want = {(1, 1, "Cc d."), (1, 3, None), (1, None, "not there"), (3, 1, "no paper"), (4, 1, "no text"), (None, 1, "s")}
+    assert len(got := [tuple(r) for r in kept.collect()]) == len(want) and set(got) == want
