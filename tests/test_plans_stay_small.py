@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from acclaim.functions.spans import find_all
 from acclaim import schemas
-from acclaim.operators import evidence, references, register
+from acclaim.operators import enrich, evidence, references, register
 from acclaim.operators.enrich import country_of
 from acclaim.operators.markers import Lexicon, add_marker_hits
 from acclaim.operators.papers import english_metadata
@@ -102,3 +102,15 @@ def test_verification_reads_the_records_once(spark):
     assert kept.columns == records.columns and _optimized(kept).count("LogicalRDD") == 2
     want = {(1, 1, "Cc d."), (1, 3, None), (1, None, "not there"), (3, 1, "no paper"), (4, 1, "no text"), (None, 1, "s")}
     assert len(got := [tuple(r) for r in kept.collect()]) == len(want) and set(got) == want
+
+
+def test_a_title_is_cut_into_words_once(spark):
+    rows = [(1, 1, "Salt in water", "1999"), (1, 2, "Salt in water", "1999"), (2, 1, "Water, in salt!", "1999"), (2, 2, "Salt in water", None), (3, 1, None, "1999"), (3, 2, "..", "1999"), (None, 9, "Salt in water", "1999"), (4, 1, "Salt in water", "2000")]
+    records = spark.createDataFrame(rows, "doc_id long, cand_id int, title string, year string").repartition(2)
+    work = lambda doi, title, year: (doi, title, title, year, None, None, None, None, None)
+    schema = "doi string, full_title string, title string, pub_year string, authors array<string>, author array<string>, issue string, volume string, pages string"
+    works = spark.createDataFrame([work("10.1/b", "Salt in water", "1999"), work("10.1/a", "In Water Salt", "1999"), work("10.1/c", "Salt in cold water", "2001")], schema)
+    found = enrich.match_by_title(records, works, ["doc_id", "cand_id"])
+    assert "[^\\w\\s]" not in _optimized(found)
+    got = sorted((str(r["doc_id"]), r["cand_id"], r["work"]["doi"], r["similarity"]) for r in found.collect())
+    assert got == [("1", 1, "10.1/a", 1.0), ("1", 2, "10.1/a", 1.0), ("2", 1, "10.1/a", 1.0), ("2", 2, "10.1/a", 1.0), ("None", 9, "10.1/a", 1.0)]
