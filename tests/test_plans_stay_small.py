@@ -114,3 +114,44 @@ def test_a_title_is_cut_into_words_once(spark):
     assert "[^\\w\\s]" not in _optimized(found)
     got = sorted((str(r["doc_id"]), r["cand_id"], r["work"]["doi"], r["similarity"]) for r in found.collect())
     assert got == [("1", 1, "10.1/a", 1.0), ("1", 2, "10.1/a", 1.0), ("2", 1, "10.1/a", 1.0), ("2", 2, "10.1/a", 1.0), ("None", 9, "10.1/a", 1.0)]
+
+
+def test_what_a_step_does_not_read_passes_as_one_column(spark):
+    from acclaim.operators.sentences import sentence_arrays
+    from acclaim.plans.mining import with_mentions
+
+    papers = spark.createDataFrame([(1, "Before it came this one. Smith et al. (2010) first reported it. After it came that one.")], "doc_id long, full_text string")
+    lexicon = Lexicon.default()
+    found = with_mentions(sentence_arrays(papers.repartition(1), offsets=False, keep=lexicon.gate()), lexicon)
+    carried = [line for line in _optimized(found).splitlines() if "Generate explode" in line and "_once" in line and "sentences" not in line]
+    assert carried and not any("prev_sentence" in line for line in carried)
+    row = found.first()
+    assert (row.sent_idx, row.prev_sentence, row.next_sentence) == (1, "Before it came this one.", "After it came that one.")
+    assert (row.markers[0].marker, row.authors[0].name, row.years[0].year, row.years[0].in_bracket) == ("first reported", "Smith", "2010", True)
+
+
+def test_a_paper_is_ranked_and_gathered_by_one_shuffle(spark):
+    from acclaim.testing import render
+
+    plan = render.papers(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
+
+
+def test_flat_brackets_are_paired_like_nested_ones(spark):
+    from acclaim.functions.spans import bracket_pairs
+
+    texts = ["a (b) [c]", "(a (b) c)", ") (a", "(a] [b)", "（a) (b）", "[a (b] c)", "((", "no", "(a [b] c) (d)", "【a】[【b】]", "()()"]
+
+    def walked(text: str, typed: bool) -> list[tuple[int, int]]:
+        stack, pairs = [], []
+        for at, ch in enumerate(text):
+            if ch in ("(（[【" if typed else "(（"):
+                stack.append((ch, at))
+            elif ch in (")）]】" if typed else ")）") and stack and (not typed or "(（[【".index(stack[-1][0]) == ")）]】".index(ch)):
+                pairs.append((stack.pop()[1], at))
+        return pairs
+
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for typed in (False, True):
+        got = rows.select("t", bracket_pairs(F.col("t"), typed=typed).alias("p")).collect()
+        assert {r.t: [tuple(s) for s in r.p] for r in got} == {t: walked(t, typed) for t in texts}
