@@ -155,3 +155,15 @@ def test_flat_brackets_are_paired_like_nested_ones(spark):
     for typed in (False, True):
         got = rows.select("t", bracket_pairs(F.col("t"), typed=typed).alias("p")).collect()
         assert {r.t: [tuple(s) for s in r.p] for r in got} == {t: walked(t, typed) for t in texts}
+
+
+def test_papers_rank_items_without_a_day_like_reference_rows(spark, tmp_path):
+    from acclaim.testing import render
+
+    rows = [(1, None, 5, 7, 1, 3.0, "N"), (1, "1995-03-01", 6, 8, 2, 4.0, "R"), (1, "1995-02-01", 9, 9, 3, 5.0, "N"), (None, "1995-02-01", 9, 9, 1, 5.0, "N")]
+    items = spark.createDataFrame(rows, "l_orderkey long, l_shipdate string, l_partkey long, l_suppkey long, l_linenumber long, l_quantity double, l_returnflag string")
+    items.withColumn("l_shipdate", F.to_date("l_shipdate")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    listed = render.reference_rows(spark, str(tmp_path)).filter("doc_id is not null").orderBy("ref_index").collect()
+    text = render.papers(spark, str(tmp_path), style="bracket").first()["full_text"]
+    assert [r.ref_index for r in listed] == [2, 3]
+    assert [line.split("]")[0] for line in text.split("References\n")[1].splitlines()] == ["[2", "[3"]
